@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(_read(spark, sf_dir, "documents"))
+    return done.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        "n_words",
+        "n_words_left",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.toxicity import score_toxicity
+
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.pii import find_personal_data
 
@@ -29,20 +50,64 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.quality import judge_quality
+
+    return judge_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.token_counts import count_tokens
 
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.decontam import find_benchmark
+
+    return find_benchmark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.warc import build_derivatives, responses_from_pages
+
+    records = build_derivatives(responses_from_pages(_read(spark, sf_dir, "pages")), id_col="page_id")
+    return records.select(
+        "page_id",
+        "warc_type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        "warc_date",
+        "content_type",
+        "content_length",
+        "block_digest",
+        "source_payload_digest",
+        F.to_json("source_headers").alias("source_headers"),
+        F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_simhash_bk, op5_bpe_codec, op7_token_counts, op9_sharding)}
+    found = (
+        op1_line_dedup,
+        op2_toxicity,
+        op3_pii,
+        op4_simhash_bk,
+        op5_bpe_codec,
+        op6_quality,
+        op7_token_counts,
+        op8_decontam,
+        op9_sharding,
+        op10_warc,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -163,30 +163,37 @@ def _keys(fp: str, blocks: int, agree: int) -> list:
     return out
 
 
-def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
-    """Pairs ``(a, b)`` of codes that connect all codes within ``radius`` of each other: a spanning forest per shard,
-    never all pairs of a group.
-
-    ``codes`` holds distinct longs. They are dealt to shards by pigeonhole keys; each shard's tree is searched for
-    each of its codes. A shard over HOT_SHARD codes is copied, and each copy answers a part of the queries.
-    """
+def deal(codes: DataFrame, radius: int, code: str = "fp") -> DataFrame:
+    """``codes`` with ``shard`` and ``asks``, a row for each shard that a row belongs to: rows within the radius of each
+    other meet in one shard at least. Rows alone in their shard are left out. A shard over HOT_SHARD rows is copied,
+    and each row asks in one of the copies; within it, it still meets all others."""
     total = codes.count()
     scheme = next(
         ((b, a) for b, a in key_schemes(radius) if total / 2 ** (64 * a // b) <= FULL_SHARD), key_schemes(radius)[-1]
     )
-    dealt = codes.select(F.col(fp).alias("fp"), F.explode(F.array(*_keys(fp, *scheme))).alias("k")).select("fp", "k.*")
+    dealt = codes.select("*", F.explode(F.array(*_keys(code, *scheme))).alias("k")).select(*codes.columns, "k.*")
     sizes = dealt.groupBy("kind", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     hot = sizes.select("kind", "bits", F.ceil(F.col("n") / HOT_SHARD).cast("int").alias("copies"))
-    split = (
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
+    return (
         dealt.join(hot, ["kind", "bits"])
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .select(
+            *codes.columns,
             F.xxhash64("kind", "bits", "copy").alias("shard"),
-            "fp",
-            (F.pmod(F.xxhash64("fp"), F.col("copies")) == F.col("copy")).alias("asks"),
+            (F.pmod(F.xxhash64(code), F.col("copies")) == F.col("copy")).alias("asks"),
         )
+        .repartition(parts, "shard")
     )
-    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
+
+
+def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
+    """Pairs ``(a, b)`` of codes that connect all codes within ``radius`` of each other: a spanning forest per shard,
+    never all pairs of a group.
+
+    ``codes`` holds distinct longs. They are dealt to shards by pigeonhole keys; each shard's tree is searched for
+    each of its codes.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -199,7 +206,7 @@ def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
         a, b = shard_edges(shard, fp.view(np.uint64), table["asks"].to_numpy(), radius)
         yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    return split.repartition(parts, "shard").mapInArrow(run, "a long, b long")
+    return deal(codes.select(F.col(fp).alias("fp")), radius).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
