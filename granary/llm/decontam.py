@@ -84,7 +84,7 @@ def _anchors(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
-    """``(_id, _hash, item, spans)``: for each document and anchor met, the verified windows as (start, end) word places."""
+    """``(_id, _hash, item, s)``: for each document and anchor met, the verified windows s as (start, end) word places."""
     start = F.col("at") - F.col("offset")
     # a window must lie within the document: positions bound its start, lengths its end
     low = F.greatest(F.col("low"), -start)
@@ -96,11 +96,12 @@ def _occurrences(docs: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
     def span(i: Column) -> Column:
         return F.struct((start + i).alias("start"), (start + i + F.col("size")).alias("end"))
 
-    spans = F.transform(F.filter(F.sequence(low, high), same), span)
+    # conditions on both sides would enter the join and take it, with every word's copy of its document, out of codegen
+    spans = F.when(low <= high, F.transform(F.filter(F.sequence(low, high), same), span))
     out = None
     for part in _parts(anchors, "h"):
         met = _shingles(docs, size, "_id", "_hash").join(F.broadcast(part), "h")
-        found = met.where(low <= high).select("_id", "_hash", "item", spans.alias("spans")).where(F.size("spans") > 0)
+        found = met.select("_id", "_hash", "item", F.explode_outer(spans).alias("s")).where("s IS NOT NULL")
         out = found if out is None else out.union(found)
     return out
 
@@ -140,8 +141,7 @@ def find_benchmark(
     if found is None:
         joined = base.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"))
     else:
-        spans = found.select("_id", "_hash", "item", F.explode("spans").alias("s"))
-        by_doc = spans.groupBy("_id", "_hash").agg(
+        by_doc = found.groupBy("_id", "_hash").agg(
             F.array_sort(F.collect_set("s")).alias("spans"),
             F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"),
         )
