@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.simhash import Forest, deal
+from granary.llm.simhash import deal, key_masks, scheme
 from granary.operators.components import connected_components
 from granary.operators.workspace import materialize
 
@@ -23,15 +23,37 @@ LEAST_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
 #: vain is dropped by an exact join.
 FILTER_BITS = 1 << 26
 
-_words = regex.compile(r"\w+").findall
-
-
-def normalised(line: str) -> list[str]:
-    """A line's words in lower case: what equality and similarity are about."""
-    return _words(line.lower())
-
-
-def edit_similarity(a: list[str], b: list[str]) -> float:
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BLANKED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
+
+
+def normalised(text: str) -> list[list[bytes]]:
+    """The words of each line of a text, in lower case and without ASCII punctuation: what equality and similarity are
+    about."""
+    return [x.split() for x in text.lower().encode("utf-8", "replace").translate(_BLANKED).split(b"\n")]
+
+
+def simhashes(words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The SimHash of each run of words, ``sizes`` words long. Bits are counted eight to a machine word, one in each
+    byte, so runs are summed in pieces that no byte's count can leave."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    ends = np.cumsum(sizes)
+    whole = ends - sizes
+    if sizes.max() > 255:
+        pieces = np.unique(np.concatenate([whole, *(np.arange(a, b, 255) for a, b in zip(whole[sizes > 255], ends[sizes > 255]))]))
+    else:
+        pieces = whole
+    first = np.searchsorted(pieces, whole)
+    bits = np.empty((len(sizes), 8, 8), np.uint8)  # line, byte of the hash, bit of the byte
+    lanes = np.uint64(0x0101010101010101)
+    for k in range(8):
+        counts = np.add.reduceat((hashes >> np.uint64(k)) & lanes, pieces)
+        each = counts.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int32)
+        bits[:, :, k] = np.add.reduceat(each, first, axis=0) * 2 > sizes[:, None]
+    return np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+def edit_similarity(a: list[bytes], b: list[bytes]) -> float:
     """1 - Levenshtein distance of two word sequences / length of the longer one, by Myers' bit vectors."""
     longest = max(len(a), len(b))
     if not longest:
@@ -45,7 +67,7 @@ def edit_similarity(a: list[str], b: list[str]) -> float:
     a, b = a[start:m], b[start:n]
     if not a or not b:
         return 1 - max(len(a), len(b)) / longest
-    places: dict[str, int] = {}
+    places: dict[bytes, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -69,32 +91,47 @@ def _lines(docs: DataFrame, id_field: T.StructField, least_words: int) -> DataFr
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh3_128_digest, xxh64_intdigest
 
         for batch in batches:
-            row, number, line, sims = [], [], [], []
+            row, number, line, words, sizes = [], [], [], [], []
+            sims = [np.empty(0, np.uint64)]
             for i, text in enumerate(batch.column(2)):
-                found = [(k, w) for k, x in enumerate((text.as_py() or "").split("\n")) if len(w := normalised(x)) >= least_words]
-                if not found:
-                    continue
-                sizes = np.fromiter((len(w) for _, w in found), np.int64, len(found))
-                hashes = np.fromiter((xxh64_intdigest(x) for _, w in found for x in w), np.uint64, int(sizes.sum()))
-                bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-                sims.append(np.packbits(ones * 2 > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel())
-                row += [i] * len(found)
-                number += [k for k, _ in found]
-                line += [xxh3_128_digest(" ".join(w)) for _, w in found]
+                for k, w in enumerate(normalised(text.as_py())):
+                    if len(w) >= least_words:
+                        row.append(i)
+                        number.append(k)
+                        line.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                        words += w
+                        sizes.append(len(w))
+                if len(words) > 1 << 19:
+                    sims.append(simhashes(words, np.array(sizes)))
+                    words, sizes = [], []
+            if sizes:
+                sims.append(simhashes(words, np.array(sizes)))
             at = pa.array(row, pa.int64())
-            sim = np.concatenate(sims).view(np.int64) if sims else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(sim)],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(np.concatenate(sims).view(np.int64))],
                 names=schema.names,
             )
 
     return docs.mapInArrow(run, schema)
 
 
+def close_pairs(shard: np.ndarray, codes: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i asking, j later than i in the shard) whose codes differ in ``radius`` bits at most."""
+    order = np.argsort(shard, kind="stable")
+    sorted_shard, sorted_codes = shard[order], codes[order]
+    end = np.searchsorted(sorted_shard, sorted_shard, "right")
+    at = np.flatnonzero(asks[order])
+    k = 0
+    while len(at):
+        k += 1
+        at = at[at + k < end[at]]
+        near = at[np.bitwise_count(sorted_codes[at] ^ sorted_codes[at + k]) <= radius]
+        if len(near):
+            yield order[near], order[near + k]
+
+
 def _crowded(sims: DataFrame, radius: int) -> DataFrame:
     """The SimHash values that have another one within the radius."""
 
@@ -104,34 +141,39 @@ def _crowded(sims: DataFrame, radius: int) -> DataFrame:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
-        codes = table["sim"].to_numpy()
-        forest = Forest(shard, codes.view(np.uint64))
-        asking = np.flatnonzero(table["asks"].to_numpy())
+        shard, codes, asks = (table[c].to_numpy() for c in ("shard", "sim", "asks"))
+        # row numbers order a shard's codes alike in each of its copies
+        by_code = np.argsort(codes, kind="stable")
+        shard, codes, asks = shard[by_code], codes[by_code], asks[by_code]
         met = np.zeros(len(codes), bool)
-        for who, node in forest.search(codes.view(np.uint64)[asking], forest.root[shard[asking]], radius):
-            other = asking[who] != node
-            met[asking[who[other]]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(codes[met])], names=["sim"])
+        for i, j in close_pairs(shard, codes.view(np.uint64), asks, radius):
+            met[i] = met[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(codes[met]))], names=["sim"])
 
     return deal(sims, radius, "sim").mapInArrow(run, "sim long").distinct()
 
 
-def _filter_places(line: bytes) -> tuple[int, int]:
-    return int.from_bytes(line[:8], "little") % FILTER_BITS, int.from_bytes(line[8:], "little") % FILTER_BITS
+def _filter_places(key: bytes) -> tuple[int, int]:
+    return int.from_bytes(key[:8], "little") % FILTER_BITS, int.from_bytes(key[8:], "little") % FILTER_BITS
 
 
-def _line_filter(wanted: DataFrame) -> bytes:
-    """A Bloom filter of the wanted lines: FILTER_BITS / 8 bytes on the driver, however many lines there are."""
+def _document_key(text_hash: int) -> bytes:
+    return xxhash.xxh3_128_digest(text_hash.to_bytes(8, "little", signed=True))
+
+
+def _filter(wanted: DataFrame) -> bytes:
+    """A Bloom filter of the wanted lines and of the documents where they first occur: FILTER_BITS / 8 bytes on the
+    driver, however many there are."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            bits = np.unique(np.array([p for x in batch.column(0) for p in _filter_places(x.as_py())], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(bits // 32), pa.array(np.left_shift(1, bits % 32))], names=["word", "bits"])
+            keys = [*batch.column(0).to_pylist(), *map(_document_key, batch.column(1).to_pylist())]
+            places = np.unique(np.array([p for x in keys for p in _filter_places(x)], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(places // 32), pa.array(np.left_shift(1, places % 32))], names=["word", "bits"])
 
-    words = wanted.select("line").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = wanted.select("line", "first._hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     table = words.toArrow()
     out[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
@@ -139,28 +181,26 @@ def _line_filter(wanted: DataFrame) -> bytes:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """``(line, words)`` of the wanted lines, words joined by spaces."""
-    bits = docs.sparkSession.sparkContext.broadcast(_line_filter(wanted))
+    """``(line, words, sim)`` of the wanted lines, words joined by spaces."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
 
         known = bits.value
-        has = lambda p: known[p >> 3] >> (p & 7) & 1
+        has = lambda key: all(known[p >> 3] >> (p & 7) & 1 for p in _filter_places(key))
         for batch in batches:
             line, words = [], []
-            for text in batch.column(0):
-                for x in (text.as_py() or "").split("\n"):
-                    if len(w := normalised(x)) >= least_words:
-                        key = xxh3_128_digest(joined := " ".join(w))
-                        if all(map(has, _filter_places(key))):
+            for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if has(_document_key(text_hash)):
+                    for w in normalised(text.as_py()):
+                        if len(w) >= least_words and has(key := xxhash.xxh3_128_digest(joined := b" ".join(w))):
                             line.append(key)
                             words.append(joined)
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(words, pa.string())], names=["line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(words, pa.binary())], names=["line", "words"])
 
-    found = docs.select("_text").mapInArrow(run, "line binary, words string").groupBy("line").agg(F.first("words").alias("words"))
-    return found.join(wanted, "line")
+    found = docs.select("_hash", "_text").mapInArrow(run, "line binary, words binary").dropDuplicates(["line"])
+    return found.join(wanted.select("line", "sim"), "line")
 
 
 def _verified(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -169,15 +209,17 @@ def _verified(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
-        codes, asks = table["sim"].to_numpy().view(np.uint64), table["asks"].to_numpy()
-        keys, words = table["line"].to_pylist(), table["words"].to_pylist()
-        split: dict[int, list[str]] = {}
-        root = list(range(len(keys)))
+        # lines in the order of their keys: a pair is looked at from its lesser line only
+        table = table.take(pa.compute.sort_indices(table["line"].combine_chunks()))
+        shard, asks, kind = (table[c].to_numpy() for c in ("shard", "asks", "kind"))
+        codes = table["sim"].to_numpy().view(np.uint64)
+        keys, words = table["line"], table["words"]
+        root = list(range(len(codes)))
 
         def top(x: int) -> int:
             while root[x] != x:
@@ -185,24 +227,27 @@ def _verified(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
                 x = root[x]
             return x
 
-        def text(x: int) -> list[str]:
-            if x not in split:
-                split[x] = words[x].split(" ")
-            return split[x]
-
         out_a, out_b = [], []
-        order = np.argsort(shard, kind="stable")
-        for members in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            for x in members[asks[members]].tolist():
-                near = members[np.bitwise_count(codes[members] ^ codes[x]) <= radius]
-                for y in near.tolist():
-                    a, b = top(x), top(y)
-                    if a != b and edit_similarity(text(x), text(y)) >= similarity:
-                        root[max(a, b)] = min(a, b)
-                        out_a.append(keys[x])
-                        out_b.append(keys[y])
-            split.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        for i, j in close_pairs(shard, codes, asks, radius):
+            once = first_meeting(codes[i] ^ codes[j], kind[i])
+            for x, y in zip(i[once].tolist(), j[once].tolist()):
+                a, b = top(x), top(y)
+                if a != b and edit_similarity(words[x].as_py().split(), words[y].as_py().split()) >= similarity:
+                    root[max(a, b)] = min(a, b)
+                    out_a.append(x)
+                    out_b.append(y)
+        ends = [keys.take(pa.array(x, pa.int64())).combine_chunks() for x in (out_a, out_b)]
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    total = lines.count()
+    masks = [np.uint64(m) for m in key_masks(*scheme(total, radius))]
+
+    def first_meeting(apart: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether the pair shares no shard of a lower kind, so that it is compared in one kind of shard only."""
+        out = np.ones(len(apart), bool)
+        for k, mask in enumerate(masks):
+            out &= (k >= kind) | ((apart & mask) != 0)
+        return out
 
     return deal(lines, radius, "sim").mapInArrow(run, "a binary, b binary")
 
@@ -218,12 +263,11 @@ def line_groups(lines: DataFrame, docs: DataFrame, least_words: int, radius: int
     )
     sims = materialize(distinct.groupBy("sim").agg(F.count("*").alias("same")), "sims")
     close = _crowded(sims.select("sim"), radius).union(sims.where("same > 1").select("sim")).distinct()
-    wanted = materialize(distinct.join(close, "sim", "left_semi").select("line", "sim"), "wanted")
+    wanted = materialize(distinct.join(close, "sim", "left_semi"), "wanted")
     edges = _verified(materialize(_texts(docs, wanted, least_words), "words"), radius, similarity)
-    roots = connected_components(edges)
-    grouped = distinct.join(roots, distinct["line"] == roots["node"], "left")
-    alone = grouped.where("root IS NULL AND n > 1").select("line", "first")
-    linked = grouped.where("root IS NOT NULL").select("line", "root", "first")
+    roots = materialize(connected_components(edges), "roots")
+    alone = distinct.where("n > 1").join(roots, F.col("line") == F.col("node"), "left_anti").select("line", "first")
+    linked = wanted.join(roots, F.col("line") == F.col("node")).select("line", "root", "first")
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
     return alone.union(linked.drop("first").join(firsts, "root").select("line", "first"))
 
@@ -236,42 +280,42 @@ def dedup_lines(
     radius: int = RADIUS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
-    """``(row, text, n_lines, n_removed, n_words, n_words_left)`` of every row; ``row`` is the input row as a struct.
-
-    Lines are what newlines separate. Lines of ``least_words`` words or more (letters, digits and underscores, any case)
-    link if they are equal, or if their SimHashes differ in ``radius`` bits at most and the edit similarity of their
-    words is ``similarity`` or more; of each connected group the first occurrence stays, by id (nulls first), text hash
-    and line number. Other lines always stay. ``text`` is what stays, joined by newlines: empty if nothing does, null
-    for a null text. Rows that repeat an id and text count once and all get the same result. An empty table gives an
-    empty result; input columns of any name ride along in ``row``.
+    """``(row, text, n_lines, n_removed, share_left)`` of every row; ``row`` is the input row as a struct.
+
+    Lines are what newlines separate. Lines of ``least_words`` words or more (runs of anything but white space and ASCII
+    punctuation, any case) link if their words are equal, or if their SimHashes differ in ``radius`` bits at most and
+    the edit similarity of their words is ``similarity`` or more; of each connected group the first occurrence stays, by
+    id (nulls first), text hash and line number. Other lines always stay. ``text`` is what stays, joined by newlines:
+    empty if nothing does, null for a null text; ``share_left`` is the share of its words that stays (1 where no line
+    goes). Rows that repeat an id and text count once and all get the same result. An empty table gives an empty result;
+    input columns of any name ride along in ``row``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    plain = rows.select("_id", "_hash", "_text")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"))
+    plain = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     lines = materialize(_lines(plain, plain.schema["_id"], least_words), "occurrences")
     groups = line_groups(lines, plain, least_words, radius, similarity)
+    is_first = (
+        F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("line_no") == F.col("first.line_no"))
+    )
     removed = (
         lines.join(groups, "line")
-        .where(~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("line_no") == F.col("first.line_no"))))
+        .where(~is_first)
         .groupBy(F.col("_id").alias("_doc"), F.col("_hash").alias("_doc_hash"))
         .agg(F.collect_set("line_no").alias("gone"))
     )
     joined = rows.join(removed, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_doc_hash")), "left")
-    split = F.split("_text", "\n")
-    gone = F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True)))
-    left = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.filter(split, lambda x, i: ~F.map_contains_key("_gone", i)), "\n")
-    )
-    n_words = lambda c: F.size(F.array_remove(F.split(c, "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+    whole = F.col(f"row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key("_gone", i)), "\n")
+    n_words = lambda c: F.size(F.array_remove(F.split(c, "[\\x20\\x09-\\x0D]+"), ""))
     return (
-        joined.withColumn("_gone", gone)
-        .select("row", "_text", "gone", left.alias("_left"))
+        joined.select("row", F.map_from_arrays("gone", F.transform("gone", lambda x: F.lit(True))).alias("_gone"))
+        .select("row", "_gone", F.when(F.col("_gone").isNull(), whole).otherwise(left).alias("text"))
         .select(
             "row",
-            F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("_left")).alias("text"),
-            F.size(F.split("_text", "\n")).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-            n_words(F.col("_text")).alias("n_words"),
-            n_words(F.col("_left")).alias("n_words_left"),
+            "text",
+            (1 + F.length(F.coalesce(whole, F.lit(""))) - F.length(F.replace(F.coalesce(whole, F.lit("")), F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"),
+            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+            F.when(F.col("_gone").isNull(), F.lit(1.0)).otherwise(n_words(F.col("text")) / n_words(whole)).alias("share_left"),
         )
     )

@@ -20,8 +20,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"),
         "n_lines",
         "n_removed",
-        "n_words",
-        "n_words_left",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 

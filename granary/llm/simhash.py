@@ -17,8 +17,10 @@ from granary.operators.workspace import materialize
 HOT_SHARD = 2048
 #: Mean fingerprints of a shard above which a scheme with more key bits is used. All schemes find the same links.
 FULL_SHARD = 64
-#: (query, node) pairs that a tree search holds at once.
-FRONT = 1 << 21
+#: Rows of the table of hot shards up to which it is broadcast; a larger one is joined by a shuffle.
+HOT_BROADCAST = 100_000
+#: (query, node) pairs that a tree search holds at once, before and after going down an edge.
+FRONT = 1 << 19
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -92,7 +94,9 @@ class Forest:
         stack = [(np.arange(len(query)), start)]
         while stack:
             who, node = stack.pop()
-            if len(who) > FRONT:
+            n = self.stop[node] - self.start[node]
+            total = int(n.sum())
+            if max(total, len(who)) > FRONT and len(who) > 1:
                 half = len(who) // 2
                 stack += [(who[half:], node[half:]), (who[:half], node[:half])]
                 continue
@@ -100,8 +104,6 @@ class Forest:
             near = d <= radius
             if near.any():
                 yield who[near], node[near]
-            n = self.stop[node] - self.start[node]
-            total = int(n.sum())
             if not total:
                 continue
             which = np.repeat(np.arange(len(node)), n)
@@ -150,38 +152,49 @@ def key_schemes(radius: int) -> list[tuple[int, int]]:
     return [(radius + extra, extra) for extra in range(1, 5)]
 
 
-def _keys(fp: str, blocks: int, agree: int) -> list:
-    """Shard keys: for each choice of ``agree`` blocks, its number and the bits of those blocks."""
+def scheme(total: int, radius: int) -> tuple[int, int]:
+    """The scheme with the fewest keys whose shards stay small for so many codes."""
+    schemes = key_schemes(radius)
+    return next((s for s in schemes if total / 2 ** (64 * s[1] // s[0]) <= FULL_SHARD), schemes[-1])
+
+
+def key_masks(blocks: int, agree: int) -> list[int]:
+    """For each choice of ``agree`` blocks of a code, a mask of their bits."""
     bounds = [64 * i // blocks for i in range(blocks + 1)]
-    out = []
-    for number, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = 0
-        for b in chosen:
-            mask |= ((1 << (bounds[b + 1] - bounds[b])) - 1) << bounds[b]
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(number).alias("kind"), F.col(fp).bitwiseAND(F.lit(signed)).alias("bits")))
-    return out
+    block = [((1 << (b - a)) - 1) << a for a, b in zip(bounds, bounds[1:])]
+    return [sum(block[i] for i in chosen) for chosen in combinations(range(blocks), agree)]
+
+
+def _keys(fp: str, blocks: int, agree: int) -> list:
+    """Shard keys: the number of each mask and the bits under it."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(blocks, agree)]
+    return [
+        F.struct(F.lit(i).alias("kind"), F.col(fp).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)
+    ]
 
 
 def deal(codes: DataFrame, radius: int, code: str = "fp") -> DataFrame:
-    """``codes`` with ``shard`` and ``asks``, a row for each shard that a row belongs to: rows within the radius of each
-    other meet in one shard at least. Rows alone in their shard are left out. A shard over HOT_SHARD rows is copied,
-    and each row asks in one of the copies; within it, it still meets all others."""
+    """``codes`` with ``kind``, ``shard`` and ``asks``, a row for each shard that a row belongs to: rows within the radius
+    of each other meet in one shard at least. A shard over HOT_SHARD rows, as a sixteenth of all codes shows it, is
+    copied; a row asks in one of the copies, and in it meets all others."""
     total = codes.count()
-    scheme = next(
-        ((b, a) for b, a in key_schemes(radius) if total / 2 ** (64 * a // b) <= FULL_SHARD), key_schemes(radius)[-1]
-    )
-    dealt = codes.select("*", F.explode(F.array(*_keys(code, *scheme))).alias("k")).select(*codes.columns, "k.*")
-    sizes = dealt.groupBy("kind", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    hot = sizes.select("kind", "bits", F.ceil(F.col("n") / HOT_SHARD).cast("int").alias("copies"))
+    keys = F.explode(F.array(*_keys(code, *scheme(total, radius)))).alias("k")
+    dealt = codes.select("*", keys).select(*codes.columns, "k.*")
+    drawn = dealt.where(F.pmod(F.xxhash64(F.lit("hot"), code), F.lit(16)) == 0).groupBy("kind", "bits").agg(F.count("*").alias("n"))
+    hot = drawn.where(F.col("n") > HOT_SHARD // 16).select("kind", "bits", F.ceil(F.col("n") * 16 / HOT_SHARD).cast("int").alias("copies"))
+    hot = materialize(hot, "hot")
+    if hot.count() <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
+    copies = F.coalesce("copies", F.lit(1))
     parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
     return (
-        dealt.join(hot, ["kind", "bits"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        dealt.join(hot, ["kind", "bits"], "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
         .select(
             *codes.columns,
+            "kind",
             F.xxhash64("kind", "bits", "copy").alias("shard"),
-            (F.pmod(F.xxhash64(code), F.col("copies")) == F.col("copy")).alias("asks"),
+            (F.pmod(F.xxhash64(code), copies) == F.col("copy")).alias("asks"),
         )
         .repartition(parts, "shard")
     )
