@@ -36,7 +36,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur earlier in the corpus; those that lose over 1 - LEAST_LEFT of their words go.
     ``n_chars`` follows the new text; documents without words stay as they are."""
-    done = dedup_lines(docs).where(F.col("n_words_left") >= F.col("n_words") * F.lit(LEAST_LEFT))
+    done = dedup_lines(docs).where(F.col("share_left") >= LEAST_LEFT)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
