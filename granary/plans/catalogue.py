@@ -1,9 +1,12 @@
 """All registered queries of the engine with their SQL equivalents."""
 
+from granary.plans import corpus, evaluation, serving  # noqa: F401  (they register their queries)
+from granary.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
