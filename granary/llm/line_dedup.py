@@ -138,9 +138,10 @@ def _crowded(sims: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
+        table = pa.Table.from_batches(rows)
         shard, codes, asks = (table[c].to_numpy() for c in ("shard", "sim", "asks"))
         # row numbers order a shard's codes alike in each of its copies
         by_code = np.argsort(codes, kind="stable")
@@ -211,9 +212,10 @@ def _verified(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute  # noqa: F401
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
+        table = pa.Table.from_batches(rows)
         # lines in the order of their keys: a pair is looked at from its lesser line only
         table = table.take(pa.compute.sort_indices(table["line"].combine_chunks()))
         shard, asks, kind = (table[c].to_numpy() for c in ("shard", "asks", "kind"))

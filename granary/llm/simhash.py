@@ -211,9 +211,10 @@ def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
+        table = pa.Table.from_batches(rows)
         shard = np.unique(table["shard"].to_numpy(), return_inverse=True)[1]
         fp = table["fp"].to_numpy()
         a, b = shard_edges(shard, fp.view(np.uint64), table["asks"].to_numpy(), radius)
