@@ -21,6 +21,8 @@ from granary.operators.workspace import materialize
 FIT_ROWS, ENTRIES = 16_000, 6_000
 #: Parts of the labelled rows that learn from each other.
 FOLDS = 3
+#: Standard deviations by which a lexicon entry must exceed chance: entries are many, so chance offers some far-out ones.
+SURPLUS = 4.4
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
 #: Words that address the reader, and characters that stand for letters in disguised words.
@@ -201,7 +203,7 @@ def _weights(units: list[dict], pos: float, neg: float, without: int | None = No
         p, q = (sum(n for k, n in enumerate(u[side]) if k != without) for side in ("p", "q"))
         expected = (p + q) * pos / (pos + neg)
         odds = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (neg + 1))
-        if p >= 3 and (p - expected) / np.sqrt(expected + 0.25) >= 3.5 and odds >= 1.5:
+        if p >= 3 and (p - expected) / np.sqrt(expected + 0.25) >= SURPLUS and odds >= 1.5:
             out[u["unit"]] = min(float(odds), 6.0)
     return out
 
@@ -238,7 +240,7 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
     counts = units.groupBy("unit").agg(sides["p"].alias("p"), sides["q"].alias("q"))
     expected = (total("p") + total("q")) * F.lit(sum(pos) / (sum(pos) + sum(neg)))
     surplus = (total("p") - expected) / F.sqrt(expected + 0.25)
-    top = counts.withColumn("surplus", surplus).where("surplus >= 3").orderBy(F.desc("surplus"), "unit").limit(ENTRIES)
+    top = counts.withColumn("surplus", surplus).where(F.col("surplus") >= SURPLUS).orderBy(F.desc("surplus"), "unit").limit(ENTRIES)
     found = [r.asDict() for r in top.collect()]
     return [_weights(found, sum(pos) - p, sum(neg) - q, k) for k, (p, q) in enumerate(zip(pos, neg))] + [
         _weights(found, sum(pos), sum(neg))
