@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEVANAGARI_DIGITS, ASCII_DIGITS = "०१२३४५६७८९", "0123456789"
 #: Word lists and endings that tell Nepali from Hindi and mark negation.
@@ -33,7 +34,7 @@ NEGATION_ROMAN = "^(?:.+(?:aina|ena|daina|ainan|enan)|na[a-z]+(?:ko|ne|i|era|kai
 WORD = r"[\p{L}\p{N}_ऀ-ॣ०-ॿ'‌‍]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode composition, which no built-in function offers. Apply it at ingest, where a text may be decomposed."""
     for texts in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.text import normalize
 from granary.operators.components import connected_components
@@ -24,7 +25,7 @@ def exact_duplicates(df: DataFrame, order: str, group: str, text_col: str = "tex
     return met.select(order, F.col("first")[order].alias("duplicate_of"))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Band keys of a MinHash signature over character shingles: polynomial shingle hashes, seeded multiply-add permutations."""
     draw = np.random.default_rng(12345)
@@ -51,7 +52,7 @@ def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def shingles(t: str) -> set[str]:
         return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
