@@ -225,3 +225,51 @@ def export_index(spark, d):
     from granary.operators.exporting import numbered
 
     return numbered(docs(spark, d).where("lang <> 'es'"), "doc_id", "line").select("line", "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("lang").alias("label"))
+
+
+@query(PACK.replace("text, row_number()", "regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, row_number()") + r""", n AS (SELECT conv_id, pos, trim(regexp_replace(chunk, '\s+', ' ', 'g')) AS t FROM k),
+  i AS (SELECT conv_id, pos, t, conv_id || '#' || substr(sha256('conversation ' || conv_id || chr(10) || t), 1, 12) AS chunk_id FROM n)
+  SELECT chunk_id, conv_id AS doc_id, CAST(min(pos) AS BIGINT) AS position, length(any_value(t)) AS n_chars FROM i GROUP BY 1, 2""")
+def chunk_ids(spark, d):
+    from granary.sources.articles import chunks
+
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    body = F.array_join(F.transform("t", lambda x: x["text"]), "\n\n")
+    articles = turns.select(F.col("conv_id").alias("id"), F.lit("shop").alias("domain"), F.lit("en").alias("lang"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"), F.lit(None).cast("date").alias("updated_at"), body.alias("body"))
+    return chunks(articles, compose=False).select("chunk_id", "doc_id", "position", F.length("text").cast("long").alias("n_chars"))
+
+
+KINDS = ["en", "fr", "de", "es", "other"]
+
+
+def _drawn(what: str) -> str:
+    return "list_sort([" + ", ".join("{'u': " + sql_uniform(f"x7:{what}", f"doc_id || ':{n}'") + f", 'c': '{n}'" + "}" for n in KINDS) + "])"
+
+
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN lang END AS label, {_drawn('order')} AS o, {_drawn('spare')} AS s, {sql_uniform('x7:drop', 'doc_id')} AS ud, {sql_uniform('x7:count', 'doc_id')} AS uc,
+    CASE WHEN {sql_uniform('x7:paraphrase', 'doc_id')} < 0.5 THEN 1 + CAST(floor({sql_uniform('x7:other', 'doc_id')} * 2) AS INT) ELSE 0 END AS variant FROM documents),
+  k AS (SELECT *, CASE WHEN label IS NOT NULL AND ud < 0.15 THEN 1 + CAST(floor(uc * 3) AS INT) ELSE 0 END AS n, list_filter(s, lambda x: x.c <> 'other' AND x.c <> label) AS spare FROM r),
+  g AS (SELECT *, list_transform(spare[1:n], lambda x: x.c) AS gone FROM k)
+  SELECT doc_id, variant, label, array_to_string(list_filter(list_transform(o, lambda x: x.c), lambda c: NOT list_contains(coalesce(gone, []), c)), ',') AS offered FROM g""")
+def export_choices(spark, d):
+    from granary.operators.exporting import candidates, wording
+
+    key, label = F.col("doc_id"), F.when(F.col("lang") != "es", F.col("lang"))
+    t = docs(spark, d)
+    return t.select("doc_id", wording(3, key, "x7", True).alias("variant"), label.alias("label"), F.array_join(candidates(KINDS, "other", label, key, "x7", True), ",").alias("offered"))
+
+
+@query("""SELECT doc_id, text AS state, lang AS label, 'en,fr,de,es,other' AS offered, length(text) < 200 AS needs FROM documents""")
+def export_requests(spark, d):
+    """The evaluation export: written as JSON text and read back, so its fields can be compared."""
+    from granary.operators.exporting import candidates, request_json, wording
+
+    label, key = F.col("lang"), F.col("doc_id")
+    offered = candidates(KINDS, "other", label, key, "x7", False)
+    say = (["Which language is the message in?"], ["Is the message too short to tell?"])
+    none = F.lit(None).cast("map<string,double>")
+    body = request_json(F.col("text"), offered, {k: f"written in {k}" for k in KINDS}, say, (wording(1, key, "x7", False),) * 2, label, none, F.length("text") < 200, {"yes": "too short", "no": "long enough"})
+    shape = "state STRING, questions STRUCT<q1: STRUCT<criteria: MAP<STRING, STRING>, label: STRING>, q2: STRUCT<label: BOOLEAN>>"
+    back = docs(spark, d).select("doc_id", F.from_json(body, shape).alias("r"))
+    q = "r.questions"
+    return back.select("doc_id", "r.state", F.col(f"{q}.q1.label").alias("label"), F.array_join(F.map_keys(f"{q}.q1.criteria"), ",").alias("offered"), F.col(f"{q}.q2.label").alias("needs"))

@@ -9,7 +9,7 @@ from granary.operators.logs import by_intent, ingest, window_stats
 from granary.operators.records import batches, latest, pending
 from granary.operators.retrieval import auc as area
 from granary.operators.retrieval import top_k
-from granary.plans.base import query, r6, table
+from granary.plans.base import CUES, PRED, SQL, predictions, query, r6, table
 
 NOW = "2024-01-31 00:00:00"
 TOP = """q AS (SELECT vec_id AS query_id, embedding AS e, label, label % 3 AS dom FROM embeddings WHERE vec_id % 10 = 0), k AS (SELECT vec_id AS item_id, embedding AS e, label AS item_label, label % 3 AS dom FROM embeddings WHERE vec_id % 10 <> 0 AND label <> 9),
@@ -149,3 +149,51 @@ def verdict_merge(spark, d):
     v = latest(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("verdict"), "turn"), ["doc_id"], ["turn"])
     j = table(spark, d, "documents").join(v, "doc_id", "left")
     return j.select("doc_id", "verdict", F.col("verdict").eqNullSafe(F.when(F.col("lang") == "en", "user").otherwise("assistant")).alias("agrees"))
+
+
+SENTENCE = r"CASE WHEN regexp_extract(c, '^(.*?[.!?।])(?:\s|$)', 1) = '' THEN c ELSE regexp_extract(c, '^(.*?[.!?।])(?:\s|$)', 1) END"
+
+
+@query(rf"""WITH {TOP}, h AS (SELECT query_id, item_id, score, coalesce({SPACES.format('text')}, '') AS c FROM top LEFT JOIN documents ON doc_id = item_id WHERE rank <= 5),
+  b AS (SELECT query_id, arg_min(c, {{'s': -round(score, 6), 'i': CAST(item_id AS VARCHAR)}}) AS c, arg_min(item_id, {{'s': -round(score, 6), 'i': CAST(item_id AS VARCHAR)}}) AS item_id, max(round(score, 6)) AS best FROM h GROUP BY 1),
+  a AS (SELECT q.query_id, best, item_id, {SENTENCE} AS quote, CASE WHEN query_id % 30 = 0 THEN 'no text has this' ELSE {SENTENCE} END AS cited, c, query_id % 40 = 0 AS declined FROM q LEFT JOIN b USING (query_id)),
+  r AS (SELECT *, CASE WHEN best IS NULL OR best < 0.3 THEN 'low_similarity' WHEN declined THEN 'model_declined' WHEN quote = '' OR NOT contains(c, cited) THEN 'no_valid_citation' END AS reason FROM a)
+  SELECT query_id, reason IS NOT NULL AS refused, reason AS refusal_reason, CASE WHEN reason IS NULL THEN md5(quote) END AS answer_md5, CASE WHEN reason IS NULL THEN CAST(item_id AS VARCHAR) END AS cited FROM r""")
+def answer_pipeline(spark, d):
+    from granary.functions.text import collapse
+    from granary.operators.answering import extractive, respond
+
+    q, _, top = _top(spark, d)
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    hits = top.where("rank <= 5").join(texts, "item_id", "left").select("query_id", F.col("item_id").cast("string").alias("chunk_id"), F.col("item_id").cast("string").alias("doc_id"), collapse(F.coalesce("text", F.lit(""))).alias("text"), r6(F.col("score")).alias("score"))
+    hits = hits.withColumnRenamed("query_id", "question_id")
+    drafts = extractive(hits)
+    forged = F.transform("citations", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.when(F.col("question_id") % 30 == 0, "no text has this").otherwise(c["quote"]).alias("quote")))
+    drafts = drafts.select("question_id", (F.col("question_id") % 40 == 0).alias("refused"), "answer", forged.alias("citations"))
+    asked = q.select(F.col("query_id").alias("question_id"), F.lit("How?").alias("question"))
+    r = respond(asked, hits, drafts, 0.3)
+    answered = lambda c: F.when(~F.col("refused"), c)
+    return r.select(F.col("question_id").alias("query_id"), "refused", "refusal_reason", answered(F.md5(F.col("answer").cast("binary"))).alias("answer_md5"), answered(F.get("citations", F.lit(0))["chunk_id"]).alias("cited"))
+
+
+RANKED = "list_transform(list_sort([" + ", ".join(f"{{'p': -p_{c}, 'i': {i}, 'c': '{c}'}}" for i, c in enumerate(CUES)) + "]), lambda x: x.c)"
+
+
+@query(f"""WITH {PRED}, d AS (SELECT doc_id, CASE WHEN clar >= 0.9 THEN 'unclear_message' WHEN conf < 0.6 THEN 'low_confidence' END AS reason, list_filter({RANKED}, lambda c: c <> 'other')[1:2] AS two,
+    CASE WHEN clar >= 0.9 THEN 'clarify' WHEN conf >= 0.6 THEN 'route' ELSE 'triage' END AS action FROM pred)
+  SELECT doc_id, reason IS NOT NULL AS needs_clarification, reason, CASE WHEN reason = 'low_confidence' THEN array_to_string(two, ',') END AS options, action FROM d""")
+def clarification_decisions(spark, d):
+    from granary.operators.answering import act, decide
+
+    made = predictions(spark, d).select("doc_id", decide(F.col("clar"), F.col("conf"), F.col("p"), list(CUES), "other", 0.9, 0.6).alias("x"), act(F.col("clar"), F.col("conf"), 0.9, 0.6).alias("action"))
+    return made.select("doc_id", "x.needs_clarification", "x.reason", F.array_join("x.options", ",").alias("options"), "action")
+
+
+@query(SQL["idempotent_ingest"])
+def stream_ingest(spark, d):
+    """The same rows as they arrive in a stream."""
+    from granary.streaming.ingest import ingest_stream
+    from granary.streaming.logs import read_events
+
+    e = read_events(spark, d).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "props"))
+    return ingest_stream(e, "key", F.sha2("event_type", 256), ["ts", "event_id"]).select("event_id", "outcome")

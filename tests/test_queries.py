@@ -25,7 +25,7 @@ def rows(frame):
     return list(frame.columns), sorted((tuple(map(cell, r)) for r in frame.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, DATA).toPandas()
     want = duck.sql(catalogue.oracle_sql()[name]).df()
