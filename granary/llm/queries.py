@@ -108,5 +108,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: Every window of every item against every window of every document, of each length that items have.
+OP8_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  n AS (SELECT item, w, least(len(w), 8) AS size FROM b WHERE len(w) > 0),
+  iw AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM n, range(1, len(w) - size + 2) r(i)),
+  sizes AS (SELECT DISTINCT size FROM iw),
+  dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM d, sizes, range(1, greatest(len(w) - size, -1) + 2) r(i)),
+  met AS (SELECT DISTINCT doc_id, item, i, dw.size FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
+  hit AS (SELECT doc_id, count(DISTINCT k) AS n FROM met, range(i, i + size) r(k) GROUP BY doc_id),
+  ids AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY doc_id)
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(ids.n, 0) >= 2 AS contaminated
+  FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN ids ON ids.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontam": OP8_SQL}
