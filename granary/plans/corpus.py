@@ -273,3 +273,31 @@ def export_requests(spark, d):
     back = docs(spark, d).select("doc_id", F.from_json(body, shape).alias("r"))
     q = "r.questions"
     return back.select("doc_id", "r.state", F.col(f"{q}.q1.label").alias("label"), F.array_join(F.map_keys(f"{q}.q1.criteria"), ",").alias("offered"), F.col(f"{q}.q2.label").alias("needs"))
+
+
+#: Sentences and how they are typed, in turn for the documents' ids.
+TYPED = [("मेरो खाता छैन ।", "mero khata chhaina."), ("सामान अझै आएन", "saman ajhai aaena"), ("५,००० काटियो", "5,000 katiyo"), ("घर को समय?", "ghar ko samaya?"), ("plain text", "plain text")]
+
+
+def _sentence(key):
+    return F.element_at(F.array(*(F.lit(a) for a, _ in TYPED)), (key % len(TYPED) + 1).cast("int"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(TYPED)) + " END AS roman FROM documents")
+def transliterate(spark, d):
+    from granary.functions.romanize import Tables
+    from granary.functions.romanize import transliterate as typed
+
+    return docs(spark, d).select("doc_id", typed(Tables())(_sentence(F.col("doc_id"))).alias("roman"))
+
+
+@query(f"""SELECT doc_id, 'd' || doc_id || '-roman' AS record_id, CASE WHEN doc_id % 5 = 2 THEN 'rejected' ELSE 'accepted' END AS status FROM documents WHERE doc_id % 5 <> 4 AND {sql_uniform('7:roman', "'d' || doc_id")} < 0.3""")
+def roman_variants(spark, d):
+    from granary.functions.romanize import Tables
+    from granary.operators.variants import derive_roman
+
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    script = X.detect_script(_sentence(F.col("doc_id")))
+    records = docs(spark, d).select("doc_id", name.alias("record_id"), name.alias("scenario_id"), _sentence(F.col("doc_id")).alias("message"), F.when(F.col("doc_id") % 5 < 4, "deva").otherwise(script).alias("script"), F.array(F.lit("plain")).alias("style_tags"))
+    out = derive_roman(records, Tables(), 0.3, "7", [("too_short", F.length("message") < 13)])
+    return out.select("doc_id", "record_id", "status")
