@@ -44,7 +44,7 @@ def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def normalize(text: Column) -> Column:
     """Lower case, ASCII digits, everything but letters, digits and underscores to single blanks, trimmed. Expects NFC."""
     t = F.translate(F.lower(text), DEVANAGARI_DIGITS, ASCII_DIGITS)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(t, r"[^A-Za-z0-9_\p{L}\p{N}]+", " "))
 
 
 def content_hash(text: Column) -> Column:

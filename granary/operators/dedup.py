@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,20 +19,21 @@ SHINGLE, BANDS, ROWS = 5, 16, 4
 
 def exact_duplicates(df: DataFrame, order: str, group: str, text_col: str = "text") -> DataFrame:
     """``(order, duplicate_of)`` of rows whose normalised text occurs earlier in another group."""
-    hashed = df.select(order, group, F.sha2(normalize(F.col(text_col)), 256).alias("h"))
+    hashed = materialize(df.select(order, group, F.sha2(normalize(F.col(text_col)), 256).alias("h")), "hashes")
     first = hashed.groupBy("h").agg(F.min_by(F.struct(order, group), order).alias("first"))
     met = hashed.join(first, "h").where((F.col("first")[order] < F.col(order)) & (F.col("first")[group] != F.col(group)))
     return met.select(order, F.col("first")[order].alias("duplicate_of"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Band keys of a MinHash signature over character shingles: polynomial shingle hashes, seeded multiply-add permutations."""
+@F.pandas_udf(T.StructType().add("keys", T.ArrayType(T.LongType())).add("n", T.LongType()))
+def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Band keys of a MinHash signature over character shingles (polynomial shingle hashes, seeded multiply-add
+    permutations), and the number of distinct shingles."""
     draw = np.random.default_rng(12345)
     a = draw.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
     b = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
     for texts in batches:
-        out = []
+        out, sizes = [], []
         for t in texts:
             codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
             n = max(1, len(codes) - SHINGLE + 1)
@@ -49,7 +50,8 @@ def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                     mixed = (mixed ^ key[:, k]) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(31)
             out.append(mixed.view(np.int64))
-        yield pd.Series(out)
+            sizes.append(len(h))
+        yield pd.DataFrame({"keys": out, "n": sizes})
 
 
 @F.pandas_udf(T.DoubleType())
@@ -58,7 +60,14 @@ def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
 
     for left, right in batches:
-        yield pd.Series([len(a & b) / max(1, len(a | b)) for a, b in ((shingles(x), shingles(y)) for x, y in zip(left, right))], dtype="float64")
+        found, last, a = [], None, set()
+        for x, y in zip(left, right, strict=True):
+            if x != last:
+                last, a = x, shingles(x)
+            b = shingles(y)
+            both = len(a & b)
+            found.append(both / (len(a) + len(b) - both))
+        yield pd.Series(found, dtype="float64")
 
 
 def near_pairs(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:
@@ -70,10 +79,15 @@ def near_pairs(df: DataFrame, order: str, group: str, text_col: str = "text", th
     rows = df.select(F.col(order).alias("id"), F.col(group).alias("g"), normalize(F.col(text_col)).alias("t"))
     rows = materialize(rows.withColumn("h", F.sha2("t", 256)), "texts")
     texts = rows.groupBy("h").agg(F.first("t").alias("t"))
-    banded = materialize(texts.select("h", F.posexplode(_bands("t")).alias("band", "key")), "bands")
+    signed = texts.select("h", _bands("t").alias("m"))
+    banded = materialize(signed.select("h", F.col("m.n").alias("n"), F.posexplode("m.keys").alias("band", "key")), "bands")
     left, right = banded.alias("l"), banded.alias("r")
+    small, large = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
     met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")))
-    met = met.select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()
+    # sets whose sizes differ more cannot be similar enough; the one allows for shingles whose hashes are equal
+    met = met.where(small + 1 >= threshold * large).select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()
+    # few bytes, much work: a number of tasks that is not coalesced by size
+    met = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb").sortWithinPartitions("ha")
     with_text = met.join(texts.select(F.col("h").alias("ha"), F.col("t").alias("ta")), "ha").join(texts.select(F.col("h").alias("hb"), F.col("t").alias("tb")), "hb")
     similar = materialize(with_text.select("ha", "hb", _jaccard("ta", "tb").alias("jaccard")).where(F.col("jaccard") >= threshold), "similar")
     both = similar.union(similar.select("hb", "ha", "jaccard")).union(rows.select("h", "h", F.lit(1.0)).distinct())

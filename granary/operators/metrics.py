@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.workspace import materialize
+
 BINS, TINY = 15, 1e-12
 
 
@@ -56,12 +58,12 @@ def coverage_at_error(df: DataFrame, limit: float, order: str, conf: str = "conf
 
     Prefix sums run over distinct confidences first, then within each one by ``order``, so rows never meet in one task.
     """
-    wrong = (~F.col(correct)).cast("long")
-    groups = df.groupBy(conf).agg(F.count("*").alias("n"), F.sum(wrong).alias("w"))
+    rows = materialize(df.select(conf, order, (~F.col(correct)).cast("long").alias("w")), "ranks")
+    groups = rows.groupBy(conf).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     upto = Window.orderBy(F.desc(conf)).rowsBetween(Window.unboundedPreceding, -1)
     before = groups.select(conf, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("w0"))
     within = Window.partitionBy(conf).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.select(conf, order, wrong.alias("w")).select(conf, F.count("*").over(within).alias("k"), F.sum("w").over(within).alias("w")).join(before, conf)
+    ranked = rows.select(conf, F.count("*").over(within).alias("k"), F.sum("w").over(within).alias("w")).join(before, conf)
     k, errors = F.col("n0") + F.col("k"), F.col("w0") + F.col("w")
     met = errors / k <= limit
     best = ranked.agg(F.count("*").alias("n"), F.max(F.when(met, k)).alias("k"), F.max_by(conf, F.when(met, k)).alias("threshold"))
