@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.text import normalize
 from granary.operators.components import connected_components
+from granary.operators.joins import salted_join
 from granary.operators.workspace import materialize
 
 SHINGLE, BANDS, ROWS = 5, 16, 4
@@ -20,8 +21,8 @@ SHINGLE, BANDS, ROWS = 5, 16, 4
 def exact_duplicates(df: DataFrame, order: str, group: str, text_col: str = "text") -> DataFrame:
     """``(order, duplicate_of)`` of rows whose normalised text occurs earlier in another group."""
     hashed = materialize(df.select(order, group, F.sha2(normalize(F.col(text_col)), 256).alias("h")), "hashes")
-    first = hashed.groupBy("h").agg(F.min_by(F.struct(order, group), order).alias("first"))
-    met = hashed.join(first, "h").where((F.col("first")[order] < F.col(order)) & (F.col("first")[group] != F.col(group)))
+    first = hashed.groupBy("h").agg(F.min_by(F.struct(order, group), order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = salted_join(hashed, first, "h", order).where((F.col("first")[order] < F.col(order)) & (F.col("first")[group] != F.col(group)))
     return met.select(order, F.col("first")[order].alias("duplicate_of"))
 
 
@@ -54,31 +55,65 @@ def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"keys": out, "n": sizes})
 
 
+class _Shingles:
+    """Sorted distinct shingles of texts as integers: exact, for code points get dense numbers in the order they are met.
+    A text with characters beyond the room for them has none, and its pairs are compared as sets of strings."""
+
+    ROOM, HELD = 6_000, 4_000_000  # ROOM ** SHINGLE fits 63 bits; integers held at most before the store is emptied
+
+    def __init__(self) -> None:
+        self.number = np.zeros(0x110000, np.int64)
+        self.met = self.held = 0
+        self.store: dict[str, np.ndarray | None] = {}
+
+    def of(self, text: str) -> np.ndarray | None:
+        if text in self.store:
+            return self.store[text]
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        fresh = np.unique(points[self.number[points] == 0])
+        found = None
+        if self.met + len(fresh) < self.ROOM:
+            self.number[fresh] = np.arange(self.met + 1, self.met + 1 + len(fresh))
+            self.met += len(fresh)
+            digits = self.number[points]
+            found = np.zeros(max(1, len(digits) - SHINGLE + 1), np.int64)
+            for k in range(min(SHINGLE, len(digits))):
+                found = found * self.ROOM + digits[k : k + len(found)]
+            found = np.unique(found)
+        if self.held > self.HELD:
+            self.store, self.held = {}, 0
+        self.store[text] = found
+        self.held += 0 if found is None else len(found)
+        return found
+
+
+def jaccard_of(left: str, right: str, known: _Shingles) -> float:
+    """Jaccard similarity of two texts' character shingles; a text shorter than a shingle is one shingle."""
+    a, b = known.of(left), known.of(right)
+    if a is None or b is None:
+        a, b = ({t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in (left, right))
+        both = len(a & b)
+    else:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaccard(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    def shingles(t: str) -> set[str]:
-        return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
-
+    known = _Shingles()
     for left, right in batches:
-        found, last, a = [], None, set()
-        for x, y in zip(left, right, strict=True):
-            if x != last:
-                last, a = x, shingles(x)
-            b = shingles(y)
-            both = len(a & b)
-            found.append(both / (len(a) + len(b) - both))
-        yield pd.Series(found, dtype="float64")
+        yield pd.Series([jaccard_of(x, y, known) for x, y in zip(left, right, strict=True)], dtype="float64")
 
 
-def near_pairs(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:
-    """``(a, b, jaccard)``, a < b: rows of different groups with similar normalised texts.
-
-    Equal texts collapse before candidates are sought (MinHash bands) and verified exactly; classes of equal texts are
-    expanded to rows at the end, as the result asks for pairs of rows.
-    """
+def _rows(df: DataFrame, order: str, group: str, text_col: str) -> DataFrame:
+    """``(id, g, t, h)``: each row with its normalised text and that text's hash. Null texts are no one's duplicates."""
     rows = df.select(F.col(order).alias("id"), F.col(group).alias("g"), normalize(F.col(text_col)).alias("t"))
-    rows = materialize(rows.withColumn("h", F.sha2("t", 256)), "texts")
-    texts = rows.groupBy("h").agg(F.first("t").alias("t"))
+    return materialize(rows.where("t IS NOT NULL").withColumn("h", F.sha2("t", 256)), "texts")
+
+
+def similar_texts(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``(ha, hb, jaccard)``, ha < hb, of the similar ones among distinct texts ``(h, t)``: MinHash bands propose, the
+    exact similarity of the shingle sets decides."""
     signed = texts.select("h", _bands("t").alias("m"))
     banded = materialize(signed.select("h", F.col("m.n").alias("n"), F.posexplode("m.keys").alias("band", "key")), "bands")
     left, right = banded.alias("l"), banded.alias("r")
@@ -87,25 +122,58 @@ def near_pairs(df: DataFrame, order: str, group: str, text_col: str = "text", th
     # sets whose sizes differ more cannot be similar enough; the one allows for shingles whose hashes are equal
     met = met.where(small + 1 >= threshold * large).select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()
     # few bytes, much work: a number of tasks that is not coalesced by size
-    met = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb").sortWithinPartitions("ha")
+    met = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb").sortWithinPartitions("ha")
     with_text = met.join(texts.select(F.col("h").alias("ha"), F.col("t").alias("ta")), "ha").join(texts.select(F.col("h").alias("hb"), F.col("t").alias("tb")), "hb")
-    similar = materialize(with_text.select("ha", "hb", _jaccard("ta", "tb").alias("jaccard")).where(F.col("jaccard") >= threshold), "similar")
-    both = similar.union(similar.select("hb", "ha", "jaccard")).union(rows.select("h", "h", F.lit(1.0)).distinct())
-    a = rows.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("h").alias("ha"))
-    b = rows.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("h").alias("hb"))
-    return both.join(a, "ha").join(b, "hb").where("a < b AND ga <> gb").select("a", "b", "jaccard")
+    return materialize(with_text.select("ha", "hb", _jaccard("ta", "tb").alias("jaccard")).where(F.col("jaccard") >= threshold), "similar")
+
+
+def near_pairs(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:
+    """``(a, b, jaccard, kind)``, a < b: how rows with similar normalised texts hang together.
+
+    Rows of equal texts form a class, which its least row stands for. ``copy`` rows link that one to each other member;
+    ``similar`` rows link the least rows of two classes, unless all rows of both are of one group. Every pair of similar
+    rows follows from these, but a class of n copies gives n - 1 rows, not n * n.
+    """
+    rows = _rows(df, order, group, text_col)
+    lead = rows.groupBy("h").agg(F.min("id").alias("rep"), F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("n"))
+    lead = materialize(lead, "classes")
+    similar = similar_texts(rows.groupBy("h").agg(F.first("t").alias("t")), threshold)
+    of = lambda side: lead.select(*(F.col(c).alias(c + side) for c in lead.columns))
+    apart = F.least("lowa", "lowb") != F.greatest("higha", "highb")
+    linked = similar.join(of("a"), "ha").join(of("b"), "hb").where(apart)
+    linked = linked.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"), "jaccard", F.lit("similar").alias("kind"))
+    copies = salted_join(rows.select("h", "id"), lead.where("n > 1").select("h", "rep"), "h", "id").where("id <> rep")
+    return linked.union(copies.select("rep", "id", F.lit(1.0), F.lit("copy")))
+
+
+def _two_least(df: DataFrame, key: str) -> DataFrame:
+    """Of ``(key, g, m)`` the rows with the two least m of each key, one row a group."""
+    best = df.groupBy(key, "g").agg(F.min("m").alias("m"))
+    return best.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("m", "g"))).where("_place <= 2").drop("_place")
+
+
+def near_rejects(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:
+    """``(order, near_duplicate_of)`` of rows for which an earlier row of another group has an equal or similar text; the
+    least such row. A class's two least rows of different groups answer for all of its rows, so no pairs are made."""
+    rows = _rows(df, order, group, text_col)
+    heads = materialize(_two_least(rows.select("h", "g", F.col("id").alias("m")), "h"), "heads")
+    similar = similar_texts(rows.groupBy("h").agg(F.first("t").alias("t")), threshold)
+    links = similar.select("ha", "hb").union(similar.select("hb", "ha"))
+    met = links.join(heads, F.col("hb") == F.col("h")).select(F.col("ha").alias("h"), "g", "m").union(heads.select("h", "g", "m"))
+    offers = _two_least(met, "h").groupBy("h").agg(F.collect_list(F.struct("m", "g")).alias("offers")).where(F.size("offers") > 1)
+    asked = salted_join(rows.select("h", "id", "g"), offers, "h", "id")
+    least = F.array_min(F.transform(F.filter("offers", lambda x: x["g"] != F.col("g")), lambda x: x["m"]))
+    return asked.select(F.col("id").alias(order), least.alias("near_duplicate_of")).where(F.col("near_duplicate_of") < F.col(order))
 
 
 def near_edges(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:
     """Group edges ``(a, b)`` from equal and similar texts: a star per class of equal texts, never all of its pairs."""
-    rows = df.select(F.col(order).alias("id"), F.col(group).alias("g"), normalize(F.col(text_col)).alias("t"))
-    rows = materialize(rows.withColumn("h", F.sha2("t", 256)), "texts")
-    stars = rows.groupBy("h").agg(F.min("g").alias("least"), F.first("t").alias("t"))
-    equal = rows.join(stars.select("h", "least"), "h").select(F.col("g").alias("a"), F.col("least").alias("b")).distinct()
-    similar = near_pairs(stars.select(F.col("h").alias("id"), F.col("h").alias("g"), "t"), "id", "g", "t", threshold)
-    lead = stars.select("h", "least")
-    linked = similar.join(lead.select(F.col("h").alias("a"), F.col("least").alias("la")), "a").join(lead.select(F.col("h").alias("b"), F.col("least").alias("lb")), "b")
-    return equal.union(linked.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a <> b")
+    rows = _rows(df, order, group, text_col)
+    lead = materialize(rows.groupBy("h").agg(F.min("g").alias("least"), F.max("g").alias("most")), "classes")
+    equal = salted_join(rows.select("h", "g").distinct(), lead.where("least <> most"), "h", "g").select(F.col("g").alias("a"), F.col("least").alias("b"))
+    similar = similar_texts(rows.groupBy("h").agg(F.first("t").alias("t")), threshold)
+    linked = similar.join(lead.select(F.col("h").alias("ha"), F.col("least").alias("a")), "ha").join(lead.select(F.col("h").alias("hb"), F.col("least").alias("b")), "hb")
+    return equal.union(linked.select("a", "b")).where("a <> b")
 
 
 def duplicate_clusters(df: DataFrame, order: str, group: str, text_col: str = "text", threshold: float = 0.85) -> DataFrame:

@@ -10,7 +10,7 @@ from granary.functions.hashing import thirds
 from granary.operators.chunking import pack
 from granary.operators.dedup import duplicate_clusters as clusters_of
 from granary.operators.dedup import exact_duplicates as exact
-from granary.operators.dedup import near_pairs
+from granary.operators.dedup import near_pairs, near_rejects
 from granary.operators.records import findings
 from granary.operators.splits import assign, sql_assign
 from granary.plans.base import SQL_GROUP, SQL_NORM, group_of, query, r6, sql_uniform, table, u
@@ -73,14 +73,16 @@ NEAR = f"""n AS (SELECT doc_id, {SQL_GROUP} AS grp, {SQL_NORM} AS t FROM documen
   pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, j AS jaccard, a.grp AS ga, b.grp AS gb FROM both_ways s JOIN m a ON a.k = s.ka JOIN m b ON b.k = s.kb WHERE a.doc_id < b.doc_id AND a.grp <> b.grp)"""
 
 
-@query(f"WITH {NEAR} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
+@query(f"""WITH {NEAR}, cl AS (SELECT k, min(grp) AS low, max(grp) AS high FROM m GROUP BY k)
+  SELECT ka AS a, kb AS b, round(j, 6) AS jaccard, 'similar' AS kind FROM sim JOIN cl x ON x.k = ka JOIN cl y ON y.k = kb WHERE least(x.low, y.low) <> greatest(x.high, y.high)
+  UNION ALL SELECT k, doc_id, 1.0, 'copy' FROM m WHERE doc_id <> k""")
 def near_duplicate_pairs(spark, d):
-    return near_pairs(docs(spark, d), "doc_id", "grp").select("a", "b", r6(F.col("jaccard")).alias("jaccard"))
+    return near_pairs(docs(spark, d), "doc_id", "grp").select("a", "b", r6(F.col("jaccard")).alias("jaccard"), "kind")
 
 
 @query(f"WITH {NEAR} SELECT b AS doc_id, min(a) AS near_duplicate_of FROM pairs GROUP BY b")
 def near_duplicate_rejects(spark, d):
-    return near_pairs(docs(spark, d), "doc_id", "grp").groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("near_duplicate_of"))
+    return near_rejects(docs(spark, d), "doc_id", "grp")
 
 
 CLUSTERS = f"""{NEAR}, e AS (SELECT ga AS x, gb AS y FROM pairs UNION SELECT gb, ga FROM pairs), gs AS (SELECT DISTINCT grp FROM n),
