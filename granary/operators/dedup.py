@@ -121,9 +121,9 @@ def similar_texts(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.h") < F.col("r.h")))
     # sets whose sizes differ more cannot be similar enough; the one allows for shingles whose hashes are equal
     met = met.where(small + 1 >= threshold * large).select(F.col("l.h").alias("ha"), F.col("r.h").alias("hb")).distinct()
-    # few bytes, much work: a number of tasks that is not coalesced by size
-    met = met.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb").sortWithinPartitions("ha")
     with_text = met.join(texts.select(F.col("h").alias("ha"), F.col("t").alias("ta")), "ha").join(texts.select(F.col("h").alias("hb"), F.col("t").alias("tb")), "hb")
+    # few bytes, much work: a number of tasks that is not coalesced by size; both keys, so that a text with many partners is spread
+    with_text = with_text.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb").sortWithinPartitions("ha")
     return materialize(with_text.select("ha", "hb", _jaccard("ta", "tb").alias("jaccard")).where(F.col("jaccard") >= threshold), "similar")
 
 

@@ -90,3 +90,49 @@ def test_status_sync_ingest(spark):
     assert {r["action"] for r in plan(t, t, "k", "c", "m").collect()} == {"unchanged"}
     e = spark.createDataFrame([(1, "k", "x"), (2, "k", "x"), (3, "k", "y"), (4, None, "x"), (5, None, "x")], "id long, key string, body string")
     assert {r["id"]: r["outcome"] for r in ingest(e, "key", F.col("body"), ["id"]).collect()} == {1: "stored", 2: "replay", 3: "conflict", 4: "stored", 5: "stored"}
+
+
+def test_near_pairs_star_copies_and_rejects_equal_all_pairs(spark):
+    from itertools import combinations
+
+    from granary.operators.dedup import near_pairs, near_rejects
+
+    base = " ".join(f"word{i} stays" for i in range(60))
+    texts = [base] * 30 + [base + f" tail{i}" for i in range(6)] + ["quite other words here", None, "", "ab"]
+    rows = [(i, f"g{i // 3}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, g string, text string")
+    found = near_pairs(df, "id", "g").collect()
+    copies = {(r.a, r.b) for r in found if r.kind == "copy"}
+    assert copies == {(0, i) for i in range(1, 30)}
+    similar = {(r.a, r.b) for r in found if r.kind == "similar"}
+    leads = [0, *range(30, 36)]
+    # 30, 31, 32 and 33, 34, 35 are of one group each, and each is alone with its text
+    assert similar == {(a, b) for a, b in combinations(leads, 2) if a == 0 or rows[a][1] != rows[b][1]}
+    alike = lambda a, b: a < 36 and b < 36
+    want = {b: a for b in range(36) for a in reversed(range(b)) if alike(a, b) and rows[a][1] != rows[b][1]}
+    assert {r.id: r.near_duplicate_of for r in near_rejects(df, "id", "g").collect()} == want
+    assert near_pairs(df.limit(0), "id", "g").count() == 0 and near_rejects(df.limit(0), "id", "g").count() == 0
+
+
+def test_shingles_as_integers_equal_sets():
+    from granary.operators.dedup import _Shingles, jaccard_of
+
+    def plain(x, y):
+        a, b = ({t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    wide = "".join(chr(0x4E00 + i) for i in range(6_500))  # more characters than there is room for
+    texts = ["", "a", "abcd", "abcde", "abcdef abcdef", "abcdéf 🙂 abc", "a" * 50, wide, wide[10:], wide[:300] + "abcdef"]
+    known = _Shingles()
+    for x in texts:
+        for y in texts:
+            assert jaccard_of(x, y, known) == plain(x, y)
+
+
+def test_salted_join(spark):
+    from granary.operators.joins import salted_join
+
+    many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (3, 51), (None, 52)], "k int, v int")
+    one = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z"), (None, "n")], "k int, w string")
+    got = sorted(map(tuple, salted_join(many, one, "k", "v").collect()))
+    assert got == sorted([(1, i, "x") for i in range(50)] + [(2, 50, "y")])
