@@ -131,7 +131,7 @@ def bias_checks(spark, d):
     return c.select("category", "support", "predicted", r6(true).alias("true_share"), r6(pred).alias("pred_share"), r6(share).alias("share_ratio"), r6(recall).alias("recall"), F.when(big, share <= 1.5).alias("share_ok"), F.when(big, recall >= 0.5).alias("recall_ok"))
 
 
-SAMPLES = 40
+SAMPLES = 1000
 SQL_POISSON = "CASE " + " ".join(f"WHEN u < {b} THEN {k}" for k, b in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974020])) + " ELSE 9 END"
 SQL_BOOT = f"""g AS (SELECT {SQL_GROUP} AS grp, count(*) AS n, sum(CAST(correct AS INT)) AS a, sum(CAST(gold = 'en' AS INT)) AS b FROM pred GROUP BY 1),
   bs AS (SELECT sample, n, a, b, {sql_uniform('boot', "CAST(sample AS VARCHAR) || ':' || grp")} AS u FROM g, range({SAMPLES}) r(sample)),
