@@ -5,6 +5,8 @@ Of each group of equal or similar lines in the whole corpus one occurrence stays
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,21 @@ FILTER_BITS = 1 << 26
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANKED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
+_BEYOND = re.compile(r"[^\w\x00-\x7F]+")
+
+
+def _blank(run: re.Match) -> str:
+    """Blanks for punctuation, symbols and white space beyond ASCII; marks belong to the letters they follow."""
+    return "".join(c if unicodedata.category(c)[0] == "M" else " " for c in run[0])
 
 
 def normalised(text: str) -> list[list[bytes]]:
-    """The words of each line of a text, in lower case and without ASCII punctuation: what equality and similarity are
-    about."""
-    return [x.split() for x in text.lower().encode("utf-8", "replace").translate(_BLANKED).split(b"\n")]
+    """The words of each line of a text, in lower case and without punctuation, ASCII or other: what equality and
+    similarity are about."""
+    text = text.lower()
+    if not text.isascii():
+        text = _BEYOND.sub(_blank, text)
+    return [x.split() for x in text.encode("utf-8", "replace").translate(_BLANKED).split(b"\n")]
 
 
 def simhashes(words: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -284,7 +295,7 @@ def dedup_lines(
 ) -> DataFrame:
     """``(row, text, n_lines, n_removed, share_left)`` of every row; ``row`` is the input row as a struct.
 
-    Lines are what newlines separate. Lines of ``least_words`` words or more (runs of anything but white space and ASCII
+    Lines are what newlines separate. Lines of ``least_words`` words or more (runs of anything but white space and
     punctuation, any case) link if their words are equal, or if their SimHashes differ in ``radius`` bits at most and
     the edit similarity of their words is ``similarity`` or more; of each connected group the first occurrence stays, by
     id (nulls first), text hash and line number. Other lines always stay. ``text`` is what stays, joined by newlines:
