@@ -31,11 +31,13 @@ def _shingle(array: str, at: Column, size: int) -> Column:
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """``(item, iw, n, size, first)``: an item's words, their number, the length of its windows and each window's place."""
+    """``(item, iw, n, text, size, first)``: an item's words, their number and hash, the length of its windows and each
+    window's place. An item's id may occur with several texts: item and text together tell them apart."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("iw"))
     items = items.select("item", "iw", F.size("iw").alias("n")).where("n > 0").distinct()
     return items.select(
         "*",
+        F.xxhash64("iw").alias("text"),
         F.least("n", F.lit(WINDOW)).alias("size"),
         F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))).alias("first"),
     )
@@ -74,10 +76,10 @@ def _anchors(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     rarity = _rarities(docs, shingled, size)
     if rarity is None:
         return None
-    ranked = shingled.join(rarity, "h", "left").groupBy("item", "size", "first").agg(
+    ranked = shingled.join(rarity, "h", "left").groupBy("item", "text", "size", "first").agg(
         F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "h", "offset")).alias("rarest"), F.first("iw").alias("iw")
     )
-    gathered = ranked.where("rarest.seen > 0").groupBy("rarest.h", "rarest.offset", "item", "size").agg(
+    gathered = ranked.where("rarest.seen > 0").groupBy("rarest.h", "rarest.offset", "item", "text", "size").agg(
         F.min("first").alias("low"), F.max("first").alias("high"), F.first("iw").alias("iw")
     )
     return materialize(gathered, "anchors")
