@@ -35,8 +35,35 @@ BASE = (
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", "[0-9](?:[ -]?[0-9]){13}", 0.3, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.5, r"\btel|phone|call|mobile|fax|telefon|t.l.phone"),
 )
+#: Characters of an IBAN after its country code and two check digits, and the countries of each such length: those of the
+#: registry, then those that use the form without being in it.
+_IBAN = {
+    11: "NO",
+    12: "BE",
+    14: "DK FK FO FI GL NL SD",
+    15: "MK SI",
+    16: "AT BA EE KZ LT LU XK MN",
+    17: "HR LV LI CH",
+    18: "BG BH CR DE GB GE IE ME RS VA",
+    19: "AE GI IL IQ OM SO TL",
+    20: "AD CZ MD PK RO SA SE SK ES TN VG",
+    21: "LY PT ST AO CV GW MZ",
+    22: "IS TR DZ IR",
+    23: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    24: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG",
+    25: "BR EG PS QA UA",
+    26: "JO KW MU YE",
+    27: "MT SC",
+    28: "LC",
+    29: "RU",
+}
+_COUNTRIES = "|".join(" ".join(_IBAN.values()).split())
+#: A known country fixes the length, so that what follows is no part of the span. Any other code is taken with the whole
+#: run after it, up to an IBAN of a known country.
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])" for n, c in _IBAN.items())
+_OTHER = rf"(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!(?:{_COUNTRIES})[0-9]{{2}}))?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", 0.4, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|{_OTHER})", "[A-Z]{2}[0-9]{2}", 0.4, "iban|bank|account|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-", 0.3, r"\bssn\b|social security|tax id"),
 )
 KINDS = BASE + ADDED
