@@ -1,4 +1,5 @@
-"""Line dedup (operator 1): SimHash of normalised lines, pigeonhole shards, verified edit similarity, connected groups.
+"""Line dedup (operator 1): lines meet by their rarest words (the prefix that edit similarity needs), are bounded by length
+and parity bits and verified by edit similarity; connected groups.
 
 Of each group of equal or similar lines in the whole corpus one occurrence stays.
 """
@@ -15,12 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.simhash import deal, key_masks, scheme
+from granary.llm.simhash import HOT_BROADCAST, HOT_SHARD, _unite
 from granary.operators.components import connected_components
 from granary.operators.workspace import materialize
 
-#: Lines of fewer words always stay; differing SimHash bits of candidates; least edit similarity of linked lines.
-LEAST_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
+#: Lines of fewer words always stay; least edit similarity of linked lines.
+LEAST_WORDS, SIMILARITY = 5, 0.8
+#: Words from which a line has more parity bits; 64-bit words of them below and from there on.
+LONG, BIT_WORDS = 100, (2, 6)
+#: Documents whose words show which are rare, the places (as a power of 2) of the table that tells, and documents whose keys
+#: show which are in very many lines.
+RARITY_SAMPLE, COUNT_BITS, HOT_SAMPLE = 16_384, 18, 4096
+#: A line has many keys: their shuffle has so many times the partitions of others.
+KEY_PARTS = 4
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter that tells which lines' words are worth sending: its size is fixed, and what it lets through in
 #: vain is dropped by an exact join.
 FILTER_BITS = 1 << 26
@@ -94,75 +103,220 @@ def edit_similarity(a: list[bytes], b: list[bytes]) -> float:
     return 1 - distance / longest
 
 
+def _code(digest: bytes, n: int) -> int:
+    """48 bits of a line's digest above its number of words, 65,535 at most. Lines that share a code are looked at
+    together, so a collision links nothing by itself."""
+    return int.from_bytes(digest[:6], "little") << 16 | min(n, 0xFFFF)
+
+
 def _lines(docs: DataFrame, id_field: T.StructField, least_words: int) -> DataFrame:
-    """``(_id, _hash, line_no, line, sim)`` of each line with enough words; ``line`` is a 128-bit hash of its words."""
+    """``(_id, _hash, line_no, line, code)`` of each line with enough words; ``line`` is a 128-bit hash of its words."""
     schema = T.StructType(
-        [id_field, T.StructField("_hash", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("sim", T.LongType())]
+        [id_field, T.StructField("_hash", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("code", T.LongType())]
     )
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            row, number, line, words, sizes = [], [], [], [], []
-            sims = [np.empty(0, np.uint64)]
+            row, number, line, code = [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 for k, w in enumerate(normalised(text.as_py())):
                     if len(w) >= least_words:
                         row.append(i)
                         number.append(k)
-                        line.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                        words += w
-                        sizes.append(len(w))
-                if len(words) > 1 << 19:
-                    sims.append(simhashes(words, np.array(sizes)))
-                    words, sizes = [], []
-            if sizes:
-                sims.append(simhashes(words, np.array(sizes)))
+                        line.append(digest := xxhash.xxh3_128_digest(b" ".join(w)))
+                        code.append(_code(digest, len(w)))
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(np.concatenate(sims).view(np.int64))],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(np.array(code, np.uint64).view(np.int64))],
                 names=schema.names,
             )
 
     return docs.mapInArrow(run, schema)
 
 
-def close_pairs(shard: np.ndarray, codes: np.ndarray, asks: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (i asking, j later than i in the shard) whose codes differ in ``radius`` bits at most."""
-    order = np.argsort(shard, kind="stable")
-    sorted_shard, sorted_codes = shard[order], codes[order]
-    end = np.searchsorted(sorted_shard, sorted_shard, "right")
-    at = np.flatnonzero(asks[order])
+def tokens(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, token) of each word in lines of ``sizes`` words (fewer than 2^19 lines). The k-th occurrence of a word in its
+    line is a token of its own, so lines are sets of tokens."""
+    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    held = np.sort(line << np.uint64(45) | hashes >> np.uint64(19))
+    at = np.arange(len(held))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, held[1:] != held[:-1]], at, 0))
+    token = ((held & np.uint64((1 << 45) - 1)) + again.astype(np.uint64) * MIX) * MIX
+    return held >> np.uint64(45), token ^ token >> np.uint64(29)
+
+
+def places(token: np.ndarray) -> np.ndarray:
+    """The places of tokens in a table of counts."""
+    return token >> np.uint64(64 - COUNT_BITS)
+
+
+def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the rarest tokens of each line, as many as it takes that similar lines share one.
+
+    Lines of which the longer has n words and that are d <= (1 - similarity) * n edits apart share n - d tokens at least.
+    Of two lines that share so many, the first (1 - similarity) * size + 1 of each in any one order have one in common.
+    Places of rarity and hash that collide only make more candidates."""
+    line, token = tokens(hashes, sizes)
+    order = rarity[places(token)].astype(np.uint64) << np.uint64(37) | token & np.uint64((1 << 37) - 1)
+    ranked = np.sort(line << np.uint64(45) | order)
+    need = ((1 - similarity) * sizes + 1e-9).astype(np.int64) + 1
+    ranked = ranked[np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(need, sizes)]
+    return (ranked >> np.uint64(45)).astype(np.int64), ranked & np.uint64((1 << 45) - 1)
+
+
+def parities(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """64 * ``words`` bits a line, each the parity of how many of its words fall there. Lines differ in no more bits than
+    their words as multisets do."""
+    starts = np.cumsum(sizes) - sizes
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    part = (hashes >> np.uint64(6)) % np.uint64(words)
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts) for k in range(words)])
+
+
+def runs_of_lines(texts: Iterator[str], least_words: int) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """(codes, words, sizes) of the distinct lines of a run of texts, in pieces that ``tokens`` can take."""
+    seen, codes, words, sizes = set(), [], [], []
+    for text in texts:
+        for w in normalised(text):
+            if len(w) >= least_words and (code := _code(xxhash.xxh3_128_digest(b" ".join(w)), len(w))) not in seen:
+                seen.add(code)
+                codes.append(code)
+                words += w
+                sizes.append(len(w))
+                if len(words) > 1 << 19:
+                    yield codes, words, sizes
+                    codes, words, sizes = [], [], []
+    if sizes:
+        yield codes, words, sizes
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _rarity(sample: DataFrame, least_words: int) -> np.ndarray:
+    """A table of how common the tokens that fall into each place are. It orders tokens, so what the sample holds changes
+    the number of candidates but no result."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        for _, words, sizes in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), least_words):
+            counts += np.bincount(places(tokens(_hashes(words), np.array(sizes))[1]).astype(np.int64), minlength=1 << COUNT_BITS)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["place", "n"])
+
+    table = sample.select("_text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    out[table["place"].to_numpy()] = np.minimum(16 * np.log2(1 + table["n"].to_numpy()), 255)
+    return out
+
+
+def _keys(docs: DataFrame, rarity, least_words: int, similarity: float) -> DataFrame:
+    """``(key, code, bits)`` of each line's prefix tokens, with its parity bits. Pairs whose longer line has under LONG words
+    meet by even keys and have few bits, others meet by odd keys and have more."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for codes, words, sizes in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), least_words):
+            codes, hashes, sizes = np.array(codes, np.uint64).view(np.int64), _hashes(words), np.array(sizes)
+            line, key = prefixes(hashes, sizes, rarity.value, similarity)
+            for odd, chosen in enumerate((sizes < LONG, sizes >= similarity * LONG - 1e-6)):
+                at = chosen[line]
+                if at.any():
+                    bits = np.ascontiguousarray(parities(hashes, sizes, BIT_WORDS[odd]).T)[line[at]]
+                    bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BIT_WORDS[odd]), len(bits), [None, pa.py_buffer(bits.tobytes())])
+                    keys = (key[at] << np.uint64(1) | np.uint64(odd)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(codes[line[at]]), bits.cast(pa.binary())], names=["key", "code", "bits"])
+
+    return docs.select("_text").mapInArrow(run, "key long, code long, bits binary")
+
+
+def close_pairs(shard: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i asking, j later) of a shard that the numbers of their words and their parity bits do not rule out.
+    Rows are sorted by shard (dense numbers), then n."""
+    n = n.astype(np.int64)
+    place = shard << 17 | n
+    end = np.searchsorted(place, shard << 17 | np.minimum((n / similarity + 1e-6).astype(np.int64), 0x1FFFF), "right")
+    edits = np.where(n == 0xFFFF, 1 << 40, ((1 - similarity) * n + 1e-6).astype(np.int64))
+    at = np.flatnonzero(asks)
     k = 0
     while len(at):
         k += 1
         at = at[at + k < end[at]]
-        near = at[np.bitwise_count(sorted_codes[at] ^ sorted_codes[at + k]) <= radius]
+        near = at[np.bitwise_count(bits[:, at] ^ bits[:, at + k]).sum(0, dtype=np.int64) <= 2 * edits[at + k] - n[at + k] + n[at]]
         if len(near):
-            yield order[near], order[near + k]
+            yield near, near + k
+
+
+def _spread(rows: DataFrame, by: str, hot: DataFrame, code: str, times: int = 1) -> DataFrame:
+    """``rows`` with ``shard`` and ``asks``, dealt by ``by``. Values in ``hot`` (with ``copies``) are copied; a row asks in
+    one of the copies, and in it meets all others."""
+    parts = times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not hot.limit(1).count():
+        return rows.withColumn("shard", F.col(by)).withColumn("asks", F.lit(True)).repartition(parts, "shard")
+    copies = F.coalesce("copies", F.lit(1))
+    return (
+        rows.join(F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot, by, "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+        .withColumn("shard", F.when(copies == 1, F.col(by)).otherwise(F.xxhash64(by, "copy")))
+        .withColumn("asks", F.pmod(F.xxhash64(code), copies) == F.col("copy"))
+        .drop("copies", "copy")
+        .repartition(parts, "shard")
+    )
+
+
+def _copies(n) -> F.Column:
+    return F.ceil(n / HOT_SHARD).cast("int").alias("copies")
 
 
-def _crowded(sims: DataFrame, radius: int) -> DataFrame:
-    """The SimHash values that have another one within the radius."""
+def candidates(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    """``(node, root)``: the codes of lines that may be similar to others, in connected groups. Any two lines whose edit
+    similarity is high enough are in one group."""
+    total = max(docs.count(), 1)
+    drawn = lambda share: docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(drawn(min(1.0, RARITY_SAMPLE / total)), least_words))
+    share = min(1.0, HOT_SAMPLE / total)
+    common = _keys(drawn(share), rarity, least_words, similarity).groupBy("key").agg(F.count("*").alias("n"))
+    hot = materialize(common.where(F.col("n") > max(8, HOT_SHARD * share)).select("key", _copies(F.col("n") / F.lit(share))), "hot")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        shard, codes, asks = (table[c].to_numpy() for c in ("shard", "sim", "asks"))
-        # row numbers order a shard's codes alike in each of its copies
-        by_code = np.argsort(codes, kind="stable")
-        shard, codes, asks = shard[by_code], codes[by_code], asks[by_code]
-        met = np.zeros(len(codes), bool)
-        for i, j in close_pairs(shard, codes.view(np.uint64), asks, radius):
-            met[i] = met[j] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(codes[met]))], names=["sim"])
-
-    return deal(sims, radius, "sim").mapInArrow(run, "sim long").distinct()
+        for odd in (0, 1):
+            part = table.filter(pa.compute.equal(table["odd"], odd))
+            if not part.num_rows:
+                continue
+            shard, code = part["shard"].to_numpy(), part["code"].to_numpy().view(np.uint64)
+            by_size = code << np.uint64(48) | code >> np.uint64(16)
+            order = np.lexsort((by_size, shard))
+            shard, by_size = shard[order], by_size[order]
+            order = order[np.r_[True, (shard[1:] != shard[:-1]) | (by_size[1:] != by_size[:-1])]]
+            part = part.take(pa.array(order))
+            shard, code = part["shard"].to_numpy(), part["code"].to_numpy().view(np.uint64)
+            shard = np.cumsum(np.r_[False, shard[1:] != shard[:-1]])
+            bits = np.frombuffer(b"".join(part["bits"].to_pylist()), np.uint64).reshape(len(code), -1).T.copy()
+            root = np.arange(len(code))
+            for i, j in close_pairs(shard, code & np.uint64(0xFFFF), bits, part["asks"].to_numpy(zero_copy_only=False), similarity):
+                _unite(root, i, j)
+            while (root[root] != root).any():
+                root = root[root]
+            linked = np.flatnonzero(root != np.arange(len(code)))
+            edges = np.unique(np.stack([code[linked], code[root[linked]]], 1).view(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+
+    dealt = _spread(_keys(docs, rarity, least_words, similarity), "key", hot, "code", KEY_PARTS)
+    dealt = dealt.select("shard", F.col("key").bitwiseAND(F.lit(1)).alias("odd"), "code", "bits", "asks")
+    return materialize(connected_components(dealt.mapInArrow(run, "a long, b long")), "candidates")
 
 
 def _filter_places(key: bytes) -> tuple[int, int]:
@@ -193,7 +347,7 @@ def _filter(wanted: DataFrame) -> bytes:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """``(line, words, sim)`` of the wanted lines, words joined by spaces."""
+    """``(line, words, code, root)`` of the wanted lines, words joined by spaces."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator) -> Iterator:
@@ -212,75 +366,81 @@ def _texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(words, pa.binary())], names=["line", "words"])
 
     found = docs.select("_hash", "_text").mapInArrow(run, "line binary, words binary").dropDuplicates(["line"])
-    return found.join(wanted.select("line", "sim"), "line")
+    return found.join(wanted.select("line", "code", "root"), "line")
 
 
-def _verified(lines: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` that connect all lines within the radius whose words are similar enough. A pair whose lines are
-    connected already is not compared again, so a large group costs little more than one comparison for each line."""
+def _verified(lines: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of lines whose words are similar enough, in connected groups. Candidates are compared within their
+    groups; a pair whose lines are connected already is not compared again, so a large group costs little more than one
+    comparison for each line."""
+    hot = lines.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("root", _copies(F.col("n")), F.lit(True).alias("hot"))
+    hot = materialize(hot, "hot")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute  # noqa: F401
 
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        # lines in the order of their keys: a pair is looked at from its lesser line only
-        table = table.take(pa.compute.sort_indices(table["line"].combine_chunks()))
-        shard, asks, kind = (table[c].to_numpy() for c in ("shard", "asks", "kind"))
-        codes = table["sim"].to_numpy().view(np.uint64)
-        keys, words = table["line"], table["words"]
-        root = list(range(len(codes)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out_a, out_b = [], []
-        for i, j in close_pairs(shard, codes, asks, radius):
-            once = first_meeting(codes[i] ^ codes[j], kind[i])
-            for x, y in zip(i[once].tolist(), j[once].tolist()):
-                a, b = top(x), top(y)
-                if a != b and edit_similarity(words[x].as_py().split(), words[y].as_py().split()) >= similarity:
+        split = [x.split() for x in table["words"].to_pylist()]
+        sizes = np.array([len(x) for x in split])
+        order = np.lexsort((table["code"].to_numpy(), sizes, table["shard"].to_numpy()))
+        table, sizes, split = table.take(pa.array(order)), sizes[order], [split[k] for k in order]
+        shard = table["shard"].to_numpy()
+        shard = np.cumsum(np.r_[False, shard[1:] != shard[:-1]])
+        bits, k = [], 0
+        while k < len(split):
+            to = k + max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 100_000]), 1 << 19, "right")))
+            bits.append(parities(_hashes([w for x in split[k:to] for w in x]), sizes[k:to], 64))
+            k = to
+        root = np.arange(len(split))
+        for i, j in close_pairs(shard, np.minimum(sizes, 0xFFFF), np.concatenate(bits, 1), table["asks"].to_numpy(zero_copy_only=False), similarity):
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[i] != root[j]
+            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                a, b = x, y
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b and edit_similarity(split[x], split[y]) >= similarity:
                     root[max(a, b)] = min(a, b)
-                    out_a.append(x)
-                    out_b.append(y)
-        ends = [keys.take(pa.array(x, pa.int64())).combine_chunks() for x in (out_a, out_b)]
-        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-    total = lines.count()
-    masks = [np.uint64(m) for m in key_masks(*scheme(total, radius))]
-
-    def first_meeting(apart: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Whether the pair shares no shard of a lower kind, so that it is compared in one kind of shard only."""
-        out = np.ones(len(apart), bool)
-        for k, mask in enumerate(masks):
-            out &= (k >= kind) | ((apart & mask) != 0)
-        return out
-
-    return deal(lines, radius, "sim").mapInArrow(run, "a binary, b binary")
-
-
-def line_groups(lines: DataFrame, docs: DataFrame, least_words: int, radius: int, similarity: float) -> DataFrame:
+        while (root[root] != root).any():
+            root = root[root]
+        grouped = np.bincount(root, minlength=len(root))[root] > 1
+        keys, at = table["line"], np.flatnonzero(grouped)
+        ends = [keys.take(pa.array(x)).combine_chunks() for x in (at, root[at])]
+        yield pa.RecordBatch.from_arrays([*ends, table["whole"].take(pa.array(at)).combine_chunks()], names=["node", "root", "whole"])
+
+    marked = lines.join(F.broadcast(hot.select("root", "hot")) if hot.count() <= HOT_BROADCAST else hot.select("root", "hot"), "root", "left")
+    marked = marked.withColumn("whole", F.col("hot").isNull()).drop("hot")
+    dealt = _spread(marked, "root", hot.drop("hot"), "code").select("shard", "line", "code", "words", "asks", "whole")
+    found = materialize(dealt.mapInArrow(run, "node binary, root binary, whole boolean"), "similar")
+    roots = found.where("whole").select("node", "root")
+    if hot.limit(1).count():
+        roots = roots.union(connected_components(found.where("NOT whole"), "node", "root"))
+    return roots
+
+
+def line_groups(lines: DataFrame, docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
     """``(line, first)`` of each line that occurs more than once or is similar to another: the first occurrence, by id,
     text hash and line number, of its group."""
     distinct = materialize(
         lines.groupBy("line").agg(
-            F.min(F.struct("_id", "_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim")
+            F.min(F.struct("_id", "_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.min("code").alias("code")
         ),
         "lines",
     )
-    sims = materialize(distinct.groupBy("sim").agg(F.count("*").alias("same")), "sims")
-    close = _crowded(sims.select("sim"), radius).union(sims.where("same > 1").select("sim")).distinct()
-    wanted = materialize(distinct.join(close, "sim", "left_semi"), "wanted")
-    edges = _verified(materialize(_texts(docs, wanted, least_words), "words"), radius, similarity)
-    roots = materialize(connected_components(edges), "roots")
+    groups = candidates(docs, least_words, similarity)
+    # lines that differ but share a code meet as well
+    alike = distinct.groupBy("code").agg(F.count("*").alias("same")).where("same > 1")
+    close = groups.union(alike.join(groups, F.col("code") == F.col("node"), "left_anti").select("code", "code"))
+    wanted = materialize(distinct.join(close, F.col("code") == F.col("node")).drop("node"), "wanted")
+    roots = materialize(_verified(materialize(_texts(docs, wanted, least_words), "words"), similarity), "roots")
     alone = distinct.where("n > 1").join(roots, F.col("line") == F.col("node"), "left_anti").select("line", "first")
-    linked = wanted.join(roots, F.col("line") == F.col("node")).select("line", "root", "first")
+    linked = wanted.drop("root").join(roots, F.col("line") == F.col("node")).select("line", "root", "first")
     firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
     return alone.union(linked.drop("first").join(firsts, "root").select("line", "first"))
 
@@ -290,14 +450,12 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     least_words: int = LEAST_WORDS,
-    radius: int = RADIUS,
     similarity: float = SIMILARITY,
 ) -> DataFrame:
     """``(row, text, n_lines, n_removed, share_left)`` of every row; ``row`` is the input row as a struct.
 
     Lines are what newlines separate. Lines of ``least_words`` words or more (runs of anything but white space and
-    punctuation, any case) link if their words are equal, or if their SimHashes differ in ``radius`` bits at most and
-    the edit similarity of their words is ``similarity`` or more; of each connected group the first occurrence stays, by
+    punctuation, any case) link if the edit similarity of their words is ``similarity`` or more; of each connected group the first occurrence stays, by
     id (nulls first), text hash and line number. Other lines always stay. ``text`` is what stays, joined by newlines:
     empty if nothing does, null for a null text; ``share_left`` is the share of its words that stays (1 where no line
     goes). Rows that repeat an id and text count once and all get the same result. An empty table gives an empty result;
@@ -307,7 +465,7 @@ def dedup_lines(
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"))
     plain = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     lines = materialize(_lines(plain, plain.schema["_id"], least_words), "occurrences")
-    groups = line_groups(lines, plain, least_words, radius, similarity)
+    groups = line_groups(lines, plain, least_words, similarity)
     is_first = (
         F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("line_no") == F.col("first.line_no"))
     )
