@@ -12,9 +12,6 @@ from granary.llm.simhash import near_duplicates
 from granary.llm.toxicity import TOXIC, fit, scorer
 from granary.operators.workspace import materialize
 
-#: Share of a document's words that must be left after line dedup; below it the document repeats others.
-LEAST_LEFT = 0.2
-
 
 def _key(docs: DataFrame) -> DataFrame:
     """``docs`` with what tells its rows apart: id (nulls last) and text."""
@@ -34,9 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occur earlier in the corpus; those that lose over 1 - LEAST_LEFT of their words go.
-    ``n_chars`` follows the new text; documents without words stay as they are."""
-    done = dedup_lines(docs).where(F.col("share_left") >= LEAST_LEFT)
+    """All documents, without the lines that occur earlier in the corpus. ``n_chars`` follows the new text. A document of
+    which nothing is left stays, with an empty text: near_dedup keeps one of those."""
+    done = dedup_lines(docs)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.workspace import materialize
+from granary.operators.joins import salted_join
+from granary.operators.workspace import materialize, release
 
+#: Share of a round's edges that a node may have before its edges are dealt to many tasks.
+HUB_SHARE, HUB_LEAST = 1 / 64, 10_000
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with the least of u and all of u's v's. The minimum is combined map-side, so a hub is no bottleneck."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Each edge (u, v) with the least of u and all of u's v's. The minimum is combined map-side; the edges of a hub, of
+    which there are at most 1 / HUB_SHARE, meet it in many tasks."""
+    grouped = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = grouped.select("u", F.least("u", "m").alias("m"), (F.col("n") > max(HUB_LEAST, total * HUB_SHARE)).alias("hub"))
+    hubs = F.broadcast(least.where("hub").select("u", F.lit(True).alias("is_hub")))
+    marked = edges.join(hubs, "u", "left")
+    plain = marked.where("is_hub IS NULL").drop("is_hub").join(least.where("NOT hub").drop("hub"), "u")
+    return plain.union(salted_join(marked.where("is_hub").drop("is_hub"), least.where("hub").drop("hub"), "u", "v"))
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,8 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node that has an edge; ``root`` is the least node of its component.
 
     Nodes may be of any orderable type; null ends and self-loops are ignored, repeated edges count once. An empty
-    edge table gives an empty result. Every round is written to the shared folder; only two numbers per round reach
-    the driver.
+    edge table gives an empty result. Every round is written to the shared folder and replaces the one before; only two
+    numbers per round reach the driver.
     """
     kept = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     # v < u: every edge once, seen from its larger end
@@ -33,14 +41,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = None
     while (seen := _signature(now)) != before:
-        before = seen
+        before, last = seen, now
+        if not seen[0]:
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        large = large.distinct()
-        small = _with_least(large)
+        large = _with_least(both, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = materialize(large.distinct(), "stars")
+        small = _with_least(large, seen[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v"))
         )
         now = materialize(small.where("u > v").distinct(), "components")
+        release(last, large)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
