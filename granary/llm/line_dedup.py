@@ -1,14 +1,15 @@
-"""Line dedup (operator 1): lines meet by their rarest words (the prefix that edit similarity needs), are bounded by length
-and parity bits and verified by edit similarity; connected groups.
+"""Line dedup (operator 1): lines meet by pigeonhole on their rarest words, are bounded by length and by a fingerprint of
+parity bits, verified by edit similarity and grouped; of each connected group one occurrence stays.
 
-Of each group of equal or similar lines in the whole corpus one occurrence stays.
+A SimHash cannot carry an edit similarity of 0.8: a fifth of the words moves a fifth of its bits, and blocks that survive
+that tell nothing apart. The fingerprint here differs in no more bits than the words do, so its radius loses no pair.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -16,27 +17,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.simhash import HOT_BROADCAST, HOT_SHARD, _unite
+from granary.llm.simhash import _unite
 from granary.operators.components import connected_components
-from granary.operators.workspace import materialize
-
-#: Lines of fewer words always stay; least edit similarity of linked lines.
-LEAST_WORDS, SIMILARITY = 5, 0.8
-#: Words from which a line has more parity bits; 64-bit words of them below and from there on.
-LONG, BIT_WORDS = 100, (2, 6)
-#: Documents whose words show which are rare, the places (as a power of 2) of the table that tells, and documents whose keys
-#: show which are in very many lines.
-RARITY_SAMPLE, COUNT_BITS, HOT_SAMPLE = 16_384, 18, 4096
-#: A line has many keys: their shuffle has so many times the partitions of others.
-KEY_PARTS = 4
-MIX = np.uint64(0x9E3779B97F4A7C15)
+from granary.operators.joins import salted_join
+from granary.operators.workspace import materialize, release
+
+#: Least edit similarity of linked lines.
+SIMILARITY = 0.8
+#: Bounds of a line's words from which its fingerprint has the next number of 64-bit words.
+WIDTHS = ((0, 2), (100, 4), (200, 8), (480, 16))
+#: Share of the documents whose words show which are rare, at least so many, and the places (as a power of 2) of the table
+#: that tells. They order words: what they hold changes the number of candidates, never a result.
+SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
+#: Lines that may hold a word before it stands for candidates only together with a second one.
+HOT_WORD = 4096
+#: Rows of a key, or lines of a candidate group, above which they are dealt to several tasks; how many keys are looked up
+#: for that (their rows stay together beyond it).
+HOT_SHARD, HOT_KEYS = 4096, 100_000
+#: Rows of a group from which a first line is compared with all others before any others are compared.
+LARGE = 256
 #: Bits of the filter that tells which lines' words are worth sending: its size is fixed, and what it lets through in
 #: vain is dropped by an exact join.
 FILTER_BITS = 1 << 26
+#: Bytes of keys for each word of the corpus, about; a partition of keys has some 16 MB.
+KEY_BYTES = 9
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
 _BLANKED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 _BEYOND = re.compile(r"[^\w\x00-\x7F]+")
+_draw = np.random.default_rng(1)
+_BYTES = _draw.integers(0, 1 << 64, 256, np.uint64)
+_BYTES[[10, 32]] = 0
+_PLACES = _draw.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
 
 def _blank(run: re.Match) -> str:
@@ -44,33 +57,21 @@ def _blank(run: re.Match) -> str:
     return "".join(c if unicodedata.category(c)[0] == "M" else " " for c in run[0])
 
 
-def normalised(text: str) -> list[list[bytes]]:
-    """The words of each line of a text, in lower case and without punctuation, ASCII or other: what equality and
-    similarity are about."""
+def canonical(text: str) -> list[bytes]:
+    """The words of each line of a text, one blank between them, in lower case and without punctuation, ASCII or other:
+    what equality and similarity are about."""
     text = text.lower()
     if not text.isascii():
         text = _BEYOND.sub(_blank, text)
-    return [x.split() for x in text.encode("utf-8", "replace").translate(_BLANKED).split(b"\n")]
-
-
-def simhashes(words: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of words, ``sizes`` words long. Bits are counted eight to a machine word, one in each
-    byte, so runs are summed in pieces that no byte's count can leave."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    ends = np.cumsum(sizes)
-    whole = ends - sizes
-    if sizes.max() > 255:
-        pieces = np.unique(np.concatenate([whole, *(np.arange(a, b, 255) for a, b in zip(whole[sizes > 255], ends[sizes > 255]))]))
-    else:
-        pieces = whole
-    first = np.searchsorted(pieces, whole)
-    bits = np.empty((len(sizes), 8, 8), np.uint8)  # line, byte of the hash, bit of the byte
-    lanes = np.uint64(0x0101010101010101)
-    for k in range(8):
-        counts = np.add.reduceat((hashes >> np.uint64(k)) & lanes, pieces)
-        each = counts.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int32)
-        bits[:, :, k] = np.add.reduceat(each, first, axis=0) * 2 > sizes[:, None]
-    return np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    raw = text.encode("utf-8", "replace").translate(_BLANKED)
+    while b"  " in raw:
+        raw = raw.replace(b"  ", b" ")
+    return [x.strip(b" ") for x in raw.split(b"\n")]
+
+
+def normalised(text: str) -> list[list[bytes]]:
+    """The words of each line of a text."""
+    return [x.split(b" ") if x else [] for x in canonical(text)]
 
 
 def edit_similarity(a: list[bytes], b: list[bytes]) -> float:
@@ -104,277 +105,439 @@ def edit_similarity(a: list[bytes], b: list[bytes]) -> float:
 
 
 def _code(digest: bytes, n: int) -> int:
-    """48 bits of a line's digest above its number of words, 65,535 at most. Lines that share a code are looked at
-    together, so a collision links nothing by itself."""
+    """48 bits of a line's digest above its number of words, 65,535 at most."""
     return int.from_bytes(digest[:6], "little") << 16 | min(n, 0xFFFF)
 
 
-def _lines(docs: DataFrame, id_field: T.StructField, least_words: int) -> DataFrame:
-    """``(_id, _hash, line_no, line, code)`` of each line with enough words; ``line`` is a 128-bit hash of its words."""
-    schema = T.StructType(
-        [id_field, T.StructField("_hash", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType()), T.StructField("code", T.LongType())]
-    )
+def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, words of each line) of canonical lines that have words. Equal words have equal hashes; what
+    collides makes more candidates."""
+    text = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    gaps = np.flatnonzero((text == 32) | (text == 10))
+    starts = np.r_[0, gaps[:-1] + 1]
+    within = np.arange(len(text)) - np.repeat(starts, gaps - starts + 1)
+    hashes = np.add.reduceat(_BYTES[text] * _PLACES[within & 255], starts)
+    hashes = (hashes ^ hashes >> np.uint64(31)) * MIX
+    return hashes ^ hashes >> np.uint64(29), np.diff(np.flatnonzero(text[gaps] == 10), prepend=-1)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            row, number, line, code = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                for k, w in enumerate(normalised(text.as_py())):
-                    if len(w) >= least_words:
-                        row.append(i)
-                        number.append(k)
-                        line.append(digest := xxhash.xxh3_128_digest(b" ".join(w)))
-                        code.append(_code(digest, len(w)))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(np.array(code, np.uint64).view(np.int64))],
-                names=schema.names,
-            )
+def _allowed(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The edits that leave lines similar enough to one no longer than they are."""
+    return ((1 - similarity) * sizes + 1e-6).astype(np.int64)
 
-    return docs.mapInArrow(run, schema)
 
+def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, hot: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the rarest words of each line (fewer than 2^19 lines), as many as it takes that similar lines share one.
 
-def tokens(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, token) of each word in lines of ``sizes`` words (fewer than 2^19 lines). The k-th occurrence of a word in its
-    line is a token of its own, so lines are sets of tokens."""
+    The k-th occurrence of a word in its line is a token of its own, so lines are sets of tokens, and tokens have one
+    order everywhere: by rarity, hash, occurrence. Lines of which the longer has n words and that are d edits apart share
+    n - d tokens; each misses d at most, so the first common one is among the first d + 1 of each, the second among the
+    first d + 2. Where the first is in very many lines (rarity of ``hot`` or more), so is the second, and both together
+    are the key."""
     line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    held = np.sort(line << np.uint64(45) | hashes >> np.uint64(19))
-    at = np.arange(len(held))
-    again = at - np.maximum.accumulate(np.where(np.r_[True, held[1:] != held[:-1]], at, 0))
-    token = ((held & np.uint64((1 << 45) - 1)) + again.astype(np.uint64) * MIX) * MIX
-    return held >> np.uint64(45), token ^ token >> np.uint64(29)
-
-
-def places(token: np.ndarray) -> np.ndarray:
-    """The places of tokens in a table of counts."""
-    return token >> np.uint64(64 - COUNT_BITS)
-
-
-def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the rarest tokens of each line, as many as it takes that similar lines share one.
-
-    Lines of which the longer has n words and that are d <= (1 - similarity) * n edits apart share n - d tokens at least.
-    Of two lines that share so many, the first (1 - similarity) * size + 1 of each in any one order have one in common.
-    Places of rarity and hash that collide only make more candidates."""
-    line, token = tokens(hashes, sizes)
-    order = rarity[places(token)].astype(np.uint64) << np.uint64(37) | token & np.uint64((1 << 37) - 1)
+    order = rarity[hashes >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(37) | hashes & np.uint64((1 << 37) - 1)
     ranked = np.sort(line << np.uint64(45) | order)
-    need = ((1 - similarity) * sizes + 1e-9).astype(np.int64) + 1
-    ranked = ranked[np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(need, sizes)]
-    return (ranked >> np.uint64(45)).astype(np.int64), ranked & np.uint64((1 << 45) - 1)
+    rank = np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    need = np.repeat(_allowed(sizes, similarity) + 1, sizes)
+    kept = rank <= need
+    ranked, rank, need = ranked[kept], rank[kept], need[kept]
+    at = np.arange(len(ranked))
+    again = at - np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], at, 0))
+    line, order = (ranked >> np.uint64(45)).astype(np.int64), ranked & np.uint64((1 << 45) - 1)
+    key = (order + again.astype(np.uint64) * MIX) * MIX
+    key ^= key >> np.uint64(29)
+    common = (order >> np.uint64(37)).astype(np.int64) >= hot
+    first = rank < need
+    alone = first & ~common
+    lines, keys = line[alone], key[alone]
+    if (first & common).any():
+        paired = np.zeros(len(sizes), bool)
+        paired[line[first & common]] = True
+        both = common & paired[line]
+        line, key = line[both], key[both]
+        n = np.bincount(line, minlength=len(sizes))[line]
+        after = n - 1 - (np.arange(len(line)) - np.searchsorted(line, line))
+        one = np.repeat(np.arange(len(line)), after)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after)
+        lines, keys = np.r_[lines, line[one]], np.r_[keys, (key[one] * np.uint64(3) + key[two]) * MIX]
+    return lines, keys
+
+
+def width(sizes: np.ndarray) -> np.ndarray:
+    """Which of WIDTHS lines have."""
+    return np.searchsorted([n for n, _ in WIDTHS], sizes, "right") - 1
 
 
 def parities(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
     """64 * ``words`` bits a line, each the parity of how many of its words fall there. Lines differ in no more bits than
-    their words as multisets do."""
-    starts = np.cumsum(sizes) - sizes
-    bit = np.uint64(1) << (hashes & np.uint64(63))
-    part = (hashes >> np.uint64(6)) % np.uint64(words)
-    return np.stack([np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), starts) for k in range(words)])
-
-
-def runs_of_lines(texts: Iterator[str], least_words: int) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
-    """(codes, words, sizes) of the distinct lines of a run of texts, in pieces that ``tokens`` can take."""
-    seen, codes, words, sizes = set(), [], [], []
+    their words as multisets do. Half as many bits are the exclusive or of both halves."""
+    bits = 64 * words
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(line * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def runs_of_lines(texts: Iterator[str], similarity: float) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(codes, lines) of the distinct lines of a run of texts that can be similar to others without being equal, in pieces
+    that ``prefixes`` can take."""
+    seen, codes, lines, size = set(), [], [], 0
+    least = int(np.ceil(1 / (1 - similarity) - 1e-6)) - 1 if similarity < 1 else 1 << 62
     for text in texts:
-        for w in normalised(text):
-            if len(w) >= least_words and (code := _code(xxhash.xxh3_128_digest(b" ".join(w)), len(w))) not in seen:
+        for line in canonical(text):
+            if line and (n := line.count(b" ")) >= least and (code := _code(xxhash.xxh3_128_digest(line), n + 1)) not in seen:
                 seen.add(code)
                 codes.append(code)
-                words += w
-                sizes.append(len(w))
-                if len(words) > 1 << 19:
-                    yield codes, words, sizes
-                    codes, words, sizes = [], [], []
-    if sizes:
-        yield codes, words, sizes
-
+                lines.append(line)
+                size += len(line)
+                if size > 1 << 20:
+                    yield codes, lines
+                    codes, lines, size = [], [], 0
+    if lines:
+        yield codes, lines
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-
-def _rarity(sample: DataFrame, least_words: int) -> np.ndarray:
-    """A table of how common the tokens that fall into each place are. It orders tokens, so what the sample holds changes
-    the number of candidates but no result."""
+def _rarity(sample: DataFrame, share: float, similarity: float) -> tuple[np.ndarray, int, float]:
+    """How common the words that fall into each of 2^COUNT_BITS places are, the level from which a word is hot, and the
+    number of all words as the sample shows it."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         counts = np.zeros(1 << COUNT_BITS, np.int64)
-        for _, words, sizes in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), least_words):
-            counts += np.bincount(places(tokens(_hashes(words), np.array(sizes))[1]).astype(np.int64), minlength=1 << COUNT_BITS)
+        for _, lines in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), similarity):
+            at, n = np.unique(word_hashes(lines)[0] >> np.uint64(64 - COUNT_BITS), return_counts=True)
+            counts[at.astype(np.int64)] += n
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["place", "n"])
 
     table = sample.select("_text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    level = lambda n: np.minimum(12 * np.log2(1 + n), 255).astype(np.uint8)
     out = np.zeros(1 << COUNT_BITS, np.uint8)
-    out[table["place"].to_numpy()] = np.minimum(16 * np.log2(1 + table["n"].to_numpy()), 255)
-    return out
-
-
-def _keys(docs: DataFrame, rarity, least_words: int, similarity: float) -> DataFrame:
-    """``(key, code, bits)`` of each line's prefix tokens, with its parity bits. Pairs whose longer line has under LONG words
-    meet by even keys and have few bits, others meet by odd keys and have more."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for codes, words, sizes in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), least_words):
-            codes, hashes, sizes = np.array(codes, np.uint64).view(np.int64), _hashes(words), np.array(sizes)
-            line, key = prefixes(hashes, sizes, rarity.value, similarity)
-            for odd, chosen in enumerate((sizes < LONG, sizes >= similarity * LONG - 1e-6)):
-                at = chosen[line]
-                if at.any():
-                    bits = np.ascontiguousarray(parities(hashes, sizes, BIT_WORDS[odd]).T)[line[at]]
-                    bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BIT_WORDS[odd]), len(bits), [None, pa.py_buffer(bits.tobytes())])
-                    keys = (key[at] << np.uint64(1) | np.uint64(odd)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(codes[line[at]]), bits.cast(pa.binary())], names=["key", "code", "bits"])
-
-    return docs.select("_text").mapInArrow(run, "key long, code long, bits binary")
-
-
-def close_pairs(shard: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (i asking, j later) of a shard that the numbers of their words and their parity bits do not rule out.
-    Rows are sorted by shard (dense numbers), then n."""
-    n = n.astype(np.int64)
-    place = shard << 17 | n
-    end = np.searchsorted(place, shard << 17 | np.minimum((n / similarity + 1e-6).astype(np.int64), 0x1FFFF), "right")
-    edits = np.where(n == 0xFFFF, 1 << 40, ((1 - similarity) * n + 1e-6).astype(np.int64))
-    at = np.flatnonzero(asks)
-    k = 0
+    out[table["place"].to_numpy()] = level(table["n"].to_numpy())
+    words = int(table["n"].to_numpy().sum())
+    return out, int(level(np.float64(max(HOT_WORD * share, 4 * words / (1 << COUNT_BITS), 1)))) + 1, words / share
+
+
+def _keyed(texts: Iterator[str], rarity: tuple, similarity: float) -> Iterator[tuple]:
+    """(keys, codes, sizes, bits, width) of runs of lines, a row a key, for each width of fingerprint."""
+    for codes, lines in runs_of_lines(texts, similarity):
+        hashes, sizes = word_hashes(lines)
+        line, key = prefixes(hashes, sizes, *rarity[:2], similarity)
+        codes, kinds = np.array(codes, np.uint64), width(sizes)
+        for w in np.unique(kinds):
+            chosen = np.flatnonzero(kinds == w)
+            bits = parities(hashes[np.repeat(kinds == w, sizes)], sizes[chosen], WIDTHS[w][1])
+            of = np.flatnonzero(kinds[line] == w)
+            at = np.searchsorted(chosen, line[of])
+            yield key[of], codes[chosen[at]], sizes[chosen[at]], bits[at], w
+
+
+def close(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines of n and m words whose fingerprints are ``apart`` bits apart can be similar."""
+    longer, shorter = np.maximum(n, m), np.minimum(n, m)
+    fits = (apart <= 2 * _allowed(longer, similarity) - (longer - shorter)) & (longer - shorter <= _allowed(longer, similarity))
+    return np.where(longer >= 0xFFFF, True, fits)
+
+
+def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float, confirm: Callable) -> None:
+    """Pass pairs of rows that may be similar to ``confirm(i, j)``, which links those that are and says which they are.
+    Rows are sorted by group (dense numbers), then n. Pairs of rows that both do not ask are known to be connected. In a
+    large group a first line is compared with all others; those that are linked to it need no comparison among
+    themselves, so many copies of one text cost a comparison each."""
+    n = np.minimum(n, 0xFFFF).astype(np.int64)
+    asks = asks.copy()
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[starts[1:], len(group)]
+    large = ends - starts > LARGE
+    last = np.where(n == 0xFFFF, 1 << 30, (n / similarity + 1e-6).astype(np.int64))
+
+    def against(i: int, rows: np.ndarray) -> np.ndarray:
+        """Those of ``rows`` that are linked to row i."""
+        near = rows[close(n[rows], n[i], np.bitwise_count(bits[rows] ^ bits[i]).sum(1, dtype=np.int64), similarity)]
+        return near[confirm(np.full(len(near), i), near)] if len(near) else near
+
+    for a, b in zip(starts[large], ends[large]):
+        if asks[a:b].all():
+            first = (a + b) // 2
+            asks[against(first, np.r_[a:first, first + 1 : b])] = False
+            asks[first] = False
+        low = np.searchsorted(n[a:b], np.ceil(n[a:b] * similarity - 1e-6)) + a
+        high = np.searchsorted(n[a:b], last[a:b], "right") + a
+        for i in np.flatnonzero(asks[a:b]) + a:
+            # what is shorter and asks has met this row already
+            against(i, np.r_[low[i - a] + np.flatnonzero(~asks[low[i - a] : i]), i + 1 : high[i - a]])
+    small = np.repeat(~large, ends - starts)
+    end = np.searchsorted(group << 31 | n, group << 31 | last, "right")
+    at, k = np.flatnonzero(small), 0
     while len(at):
         k += 1
         at = at[at + k < end[at]]
-        near = at[np.bitwise_count(bits[:, at] ^ bits[:, at + k]).sum(0, dtype=np.int64) <= 2 * edits[at + k] - n[at + k] + n[at]]
+        near = at[asks[at] | asks[at + k]]
         if len(near):
-            yield near, near + k
-
-
-def _spread(rows: DataFrame, by: str, hot: DataFrame, code: str, times: int = 1) -> DataFrame:
-    """``rows`` with ``shard`` and ``asks``, dealt by ``by``. Values in ``hot`` (with ``copies``) are copied; a row asks in
-    one of the copies, and in it meets all others."""
-    parts = times * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not hot.limit(1).count():
-        return rows.withColumn("shard", F.col(by)).withColumn("asks", F.lit(True)).repartition(parts, "shard")
-    copies = F.coalesce("copies", F.lit(1))
-    return (
-        rows.join(F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot, by, "left")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-        .withColumn("shard", F.when(copies == 1, F.col(by)).otherwise(F.xxhash64(by, "copy")))
-        .withColumn("asks", F.pmod(F.xxhash64(code), copies) == F.col("copy"))
-        .drop("copies", "copy")
-        .repartition(parts, "shard")
-    )
-
+            near = near[close(n[near], n[near + k], np.bitwise_count(bits[near] ^ bits[near + k]).sum(1, dtype=np.int64), similarity)]
+        if len(near):
+            confirm(near, near + k)
+
+
+def _order(group: np.ndarray, n: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.lexsort((code, n, group))
+
+
+def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
+    """A forest of candidate links among the rows of a partition, as pairs of codes. A row is a key, a code, whether it
+    asks, and the fingerprint."""
+    edges, wider = [], None
+    for w in range(len(WIDTHS) - 1, -1, -1):
+        words = WIDTHS[w][1]
+        rows = np.frombuffer(blobs.get(w, b""), np.uint64).reshape(-1, 2 + words)
+        if wider is not None:
+            # lines just above the bound meet those below it with half their bits
+            short = wider[(wider[:, 1] & np.uint64(0xFFFF)) <= np.uint64(int(WIDTHS[w + 1][0] / similarity) + 1)]
+            half = short[:, 2 : 2 + words] ^ short[:, 2 + words :]
+            rows = np.concatenate([rows, np.concatenate([short[:, :2], half], 1)])
+        wider = np.frombuffer(blobs.get(w, b""), np.uint64).reshape(-1, 2 + words)
+        if len(rows) < 2:
+            continue
+        n = (rows[:, 1] & np.uint64(0xFFFF)).astype(np.int64)
+        order = _order(rows[:, 0] >> np.uint64(1), n, rows[:, 1])
+        rows, n = rows[order], n[order]
+        key = rows[:, 0] >> np.uint64(1)
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (rows[1:, 1] != rows[:-1, 1])]
+        shared = np.bincount(np.cumsum(np.r_[True, key[1:] != key[:-1]])[fresh])
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        use = fresh & (shared[group] > 1)
+        rows, n, group = rows[use], n[use], group[use]
+        if not len(rows):
+            continue
+        group = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+        code = rows[:, 1]
+        root = np.unique(code, return_inverse=True)
+        parent = np.arange(len(root[0]))
+
+        def confirm(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            _unite(parent, root[1][i], root[1][j])  # noqa: B023
+            return np.ones(len(i), bool)
+
+        link(group, n, rows[:, 2:], (rows[:, 0] & np.uint64(1)).astype(bool), similarity, confirm)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        linked = np.flatnonzero(parent != np.arange(len(parent)))
+        edges.append(np.stack([root[0][linked], root[0][parent[linked]]], 1))
+    return np.unique(np.concatenate(edges or [np.empty((0, 2), np.uint64)]), axis=0)
+
+
+def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict[int, tuple[int, int, int, bytes]]:
+    """The keys of very many lines: into how many parts to deal their rows, and a line (its code, words, bits) that most
+    of them are likely to be close to."""
 
-def _copies(n) -> F.Column:
-    return F.ceil(n / HOT_SHARD).cast("int").alias("copies")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for keys, codes, sizes, bits, w in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+            keys, held = keys & ~np.uint64(1), pa.array([x.tobytes() for x in bits], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(codes.view(np.int64)), pa.array(sizes.astype(np.int64)), held], names=["key", "code", "n", "bits"]
+            )
 
-def candidates(docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
+    rows = drawn.select("_text").mapInArrow(run, "key long, code long, n long, bits binary")
+    found = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max_by(F.struct("code", "n", "bits"), F.xxhash64("code")).alias("line"))
+    found = found.where(F.col("rows") > max(8, HOT_SHARD * share)).orderBy(F.desc("rows"), "key").limit(HOT_KEYS)
+    parts = lambda n: int(np.ceil(n / share / HOT_SHARD))
+    table = found.select("key", "rows", "line.*").toArrow().to_pylist()
+    return {x["key"] & (1 << 64) - 1: (parts(x["rows"]), x["code"] & (1 << 64) - 1, x["n"], x["bits"]) for x in table}
+
+
+def _split_hot(keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, hot: dict, similarity: float) -> tuple[np.ndarray, ...]:
+    """Rows with the rows of hot keys dealt to parts: those close to the key's line go to one part each, where they need
+    not be compared with each other; the others go to all parts and are compared with everything. Also links with the
+    lines of the keys."""
+    listed = np.fromiter(hot, np.uint64, len(hot))
+    at = np.flatnonzero(np.isin(keys, listed))
+    if not len(at):
+        return keys | np.uint64(1), codes, bits, np.empty((0, 2), np.uint64)
+    rest = np.setdiff1d(np.arange(len(keys)), at)
+    out_keys, rows, edges = [keys[rest] | np.uint64(1)], [rest], []
+    for key in np.unique(keys[at]):
+        parts, code, n, held = hot[int(key)]
+        of = at[keys[at] == key]
+        pivot = np.frombuffer(held, np.uint64)
+        mine = bits[of]
+        while len(pivot) > mine.shape[1]:
+            pivot = pivot[: len(pivot) // 2] ^ pivot[len(pivot) // 2 :]
+        while len(pivot) < mine.shape[1]:
+            mine = mine[:, : mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2 :]
+        near = close(np.minimum(sizes[of], 0xFFFF), np.int64(min(n, 0xFFFF)), np.bitwise_count(mine ^ pivot).sum(1, dtype=np.int64), similarity)
+        edges.append(np.stack([codes[of[near]], np.full(near.sum(), code, np.uint64)], 1))
+        part = lambda k: (np.uint64(key) + (k + np.uint64(1)) * MIX) * MIX  # noqa: B023, E731
+        out_keys.append(part((codes[of[near]] >> np.uint64(16)) % np.uint64(parts)) & ~np.uint64(1))
+        rows.append(of[near])
+        far = of[~near]
+        out_keys.append(part(np.tile(np.arange(parts, dtype=np.uint64), len(far))) | np.uint64(1))
+        rows.append(np.repeat(far, parts))
+    rows = np.concatenate(rows)
+    return np.concatenate(out_keys), codes[rows], bits[rows], np.concatenate(edges)
+
+
+def candidates(docs: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)``: the codes of lines that may be similar to others, in connected groups. Any two lines whose edit
-    similarity is high enough are in one group."""
+    similarity is high enough without being equal are in one group. Keys travel in one packed row for each partition and
+    batch."""
+    spark = docs.sparkSession
     total = max(docs.count(), 1)
-    drawn = lambda share: docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(drawn(min(1.0, RARITY_SAMPLE / total)), least_words))
-    share = min(1.0, HOT_SAMPLE / total)
-    common = _keys(drawn(share), rarity, least_words, similarity).groupBy("key").agg(F.count("*").alias("n"))
-    hot = materialize(common.where(F.col("n") > max(8, HOT_SHARD * share)).select("key", _copies(F.col("n") / F.lit(share))), "hot")
+    share = min(1.0, max(SAMPLE_LEAST / total, SAMPLE_SHARE))
+    drawn = docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    rarity = spark.sparkContext.broadcast(_rarity(drawn, share, similarity))
+    hot = spark.sparkContext.broadcast(_hot_keys(drawn, share, rarity, similarity))
+    parts = max(spark.sparkContext.defaultParallelism, int(rarity.value[2] * KEY_BYTES) >> 24)
 
-    def run(batches: Iterator) -> Iterator:
+    def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute  # noqa: F401
 
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        for odd in (0, 1):
-            part = table.filter(pa.compute.equal(table["odd"], odd))
-            if not part.num_rows:
-                continue
-            shard, code = part["shard"].to_numpy(), part["code"].to_numpy().view(np.uint64)
-            by_size = code << np.uint64(48) | code >> np.uint64(16)
-            order = np.lexsort((by_size, shard))
-            shard, by_size = shard[order], by_size[order]
-            order = order[np.r_[True, (shard[1:] != shard[:-1]) | (by_size[1:] != by_size[:-1])]]
-            part = part.take(pa.array(order))
-            shard, code = part["shard"].to_numpy(), part["code"].to_numpy().view(np.uint64)
-            shard = np.cumsum(np.r_[False, shard[1:] != shard[:-1]])
-            bits = np.frombuffer(b"".join(part["bits"].to_pylist()), np.uint64).reshape(len(code), -1).T.copy()
-            root = np.arange(len(code))
-            for i, j in close_pairs(shard, code & np.uint64(0xFFFF), bits, part["asks"].to_numpy(zero_copy_only=False), similarity):
-                _unite(root, i, j)
-            while (root[root] != root).any():
-                root = root[root]
-            linked = np.flatnonzero(root != np.arange(len(code)))
-            edges = np.unique(np.stack([code[linked], code[root[linked]]], 1).view(np.int64), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
-
-    dealt = _spread(_keys(docs, rarity, least_words, similarity), "key", hot, "code", KEY_PARTS)
-    dealt = dealt.select("shard", F.col("key").bitwiseAND(F.lit(1)).alias("odd"), "code", "bits", "asks")
-    return materialize(connected_components(dealt.mapInArrow(run, "a long, b long")), "candidates")
+        def packed(held: dict) -> pa.RecordBatch:
+            at, kind, blob = [], [], []
+            for w, pieces in held.items():
+                rows = np.concatenate(pieces)
+                to = (rows[:, 0] >> np.uint64(1)) % np.uint64(parts)
+                order = np.argsort(to, kind="stable")
+                rows, to = rows[order], to[order]
+                cut = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
+                for p in np.flatnonzero(np.diff(cut)):
+                    at.append(int(p))
+                    kind.append(w)
+                    blob.append(rows[cut[p] : cut[p + 1]].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
+
+        held, size = {}, 0
+        for keys, codes, sizes, bits, w in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+            keys, codes, bits, edges = _split_hot(keys & ~np.uint64(1), codes, sizes, bits, hot.value, similarity)
+            held.setdefault(int(w), []).append(np.concatenate([keys[:, None], codes[:, None], bits], 1))
+            if len(edges):
+                held.setdefault(-1, []).append(edges)
+            size += sum(x[-1].nbytes for x in held.values())
+            if size > 1 << 26:
+                yield packed(held)
+                held, size = {}, 0
+        if held:
+            yield packed(held)
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                held.setdefault(kind, []).append(blob)
+        found = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in held.pop(-1, [])]
+        found.append(_key_links({w: b"".join(x) for w, x in held.items()}, similarity))
+        edges = np.concatenate(found).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
 
-def _filter_places(key: bytes) -> tuple[int, int]:
-    return int.from_bytes(key[:8], "little") % FILTER_BITS, int.from_bytes(key[8:], "little") % FILTER_BITS
+    dealt = docs.select("_text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(parts, F.col("part"))
+    return materialize(connected_components(dealt.mapInArrow(run, "a long, b long")), "candidates")
 
 
-def _document_key(text_hash: int) -> bytes:
-    return xxhash.xxh3_128_digest(text_hash.to_bytes(8, "little", signed=True))
+def _filter_places(codes: np.ndarray) -> np.ndarray:
+    """Two places of the filter for each code."""
+    mixed = (codes.view(np.uint64) * MIX) ^ codes.view(np.uint64) >> np.uint64(17)
+    return np.stack([mixed % np.uint64(FILTER_BITS), (mixed >> np.uint64(38)) % np.uint64(FILTER_BITS)]).astype(np.int64)
 
 
-def _filter(wanted: DataFrame) -> bytes:
-    """A Bloom filter of the wanted lines and of the documents where they first occur: FILTER_BITS / 8 bytes on the
-    driver, however many there are."""
+def _filter(codes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the wanted codes: FILTER_BITS / 8 bytes on the driver, however many there are."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keys = [*batch.column(0).to_pylist(), *map(_document_key, batch.column(1).to_pylist())]
-            places = np.unique(np.array([p for x in keys for p in _filter_places(x)], np.int64))
+            places = np.unique(_filter_places(batch.column(0).to_numpy()).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(places // 32), pa.array(np.left_shift(1, places % 32))], names=["word", "bits"])
 
-    words = wanted.select("line", "first._hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = codes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(FILTER_BITS // 32, np.uint32)
     table = words.toArrow()
     out[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
-    return out.tobytes()
+    return out
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
-    """``(line, words, code, root)`` of the wanted lines, words joined by spaces."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataFrame:
+    """``(_id, _hash, line_no, line, code, words)`` of each line with words; ``line`` is a 128-bit hash of its words. The
+    words come along where the line is in one of the groups, once a batch."""
+    schema = T.StructType(
+        [
+            id_field,
+            T.StructField("_hash", T.LongType()),
+            T.StructField("line_no", T.IntegerType()),
+            T.StructField("line", T.BinaryType()),
+            T.StructField("code", T.LongType()),
+            T.StructField("words", T.BinaryType()),
+        ]
+    )
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(groups.select("node")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         known = bits.value
-        has = lambda key: all(known[p >> 3] >> (p & 7) & 1 for p in _filter_places(key))
         for batch in batches:
-            line, words = [], []
-            for text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if has(_document_key(text_hash)):
-                    for w in normalised(text.as_py()):
-                        if len(w) >= least_words and has(key := xxhash.xxh3_128_digest(joined := b" ".join(w))):
-                            line.append(key)
-                            words.append(joined)
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.binary()), pa.array(words, pa.binary())], names=["line", "words"])
+            row, number, text, line, code = [], [], [], [], []
+            for i, t in enumerate(batch.column(2)):
+                for k, x in enumerate(canonical(t.as_py())):
+                    if x:
+                        row.append(i)
+                        number.append(k)
+                        text.append(x)
+                        line.append(digest := xxhash.xxh3_128_digest(x))
+                        code.append(_code(digest, x.count(b" ") + 1))
+            codes = np.array(code, np.uint64)
+            at = _filter_places(codes)
+            wanted = ((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)
+            once = np.zeros(len(codes), bool)
+            once[np.unique(codes, return_index=True)[1]] = True
+            words = [x if w else None for x, w in zip(text, (wanted & once).tolist())]
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(codes.view(np.int64)), pa.array(words, pa.binary())],
+                names=schema.names,
+            )
+
+    return docs.mapInArrow(run, schema)
 
-    found = docs.select("_hash", "_text").mapInArrow(run, "line binary, words binary").dropDuplicates(["line"])
-    return found.join(wanted.select("line", "code", "root"), "line")
 
+def _dealt(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``(shard, line, code, words, asks, pivot, whole)``: the lines of each group together. A group over HOT_SHARD lines is
+    dealt to parts: those similar to its first line (``pivot``) go to one part each, the others to all."""
+    cold = lines.select(F.col("root").alias("shard"), "line", "code", "words", F.lit(True).alias("asks"), F.lit(None).cast("binary").alias("pivot"), F.lit(True).alias("whole"))
+    big = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD)
+    big = materialize(big.select("root", F.ceil(F.col("n") / HOT_SHARD).cast("int").alias("parts")), "hot")
+    if not (n := big.count()):
+        return cold
+    small = F.broadcast(big) if n <= HOT_KEYS else big
+    first = lines.where(F.col("code") == F.col("root")).join(small, "root").groupBy("root").agg(F.max("parts").alias("parts"), F.min(F.struct("line", "words")).alias("first"))
+    first = materialize(first.select("root", "parts", F.col("first.line").alias("pivot"), F.col("first.words").alias("first")), "pivots")
+    schema = cold.schema
 
-def _verified(lines: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [[] for _ in schema.names]
+            for x in batch.to_pylist():
+                near = x["line"] == x["pivot"] or edit_similarity(x["words"].split(b" "), x["first"].split(b" ")) >= similarity
+                for part in [x["code"] % x["parts"]] if near else range(x["parts"]):
+                    shard = xxhash.xxh64_intdigest(f"{x['root']} {part}") - (1 << 63)
+                    for held, value in zip(out, (shard, x["line"], x["code"], x["words"], not near, x["pivot"] if near else None, False)):
+                        held.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.bool_()))], names=schema.names)
+
+    of_big = salted_join(lines, first, "root", "line")
+    apart = cold.join(small.select(F.col("root").alias("shard")), "shard", "left_anti")
+    return apart.union(of_big.mapInArrow(run, schema))
+
+
+def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` of lines whose words are similar enough, in connected groups. Candidates are compared within their
     groups; a pair whose lines are connected already is not compared again, so a large group costs little more than one
     comparison for each line."""
-    hot = lines.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD).select("root", _copies(F.col("n")), F.lit(True).alias("hot"))
-    hot = materialize(hot, "hot")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -383,99 +546,99 @@ def _verified(lines: DataFrame, similarity: float) -> DataFrame:
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        split = [x.split() for x in table["words"].to_pylist()]
-        sizes = np.array([len(x) for x in split])
-        order = np.lexsort((table["code"].to_numpy(), sizes, table["shard"].to_numpy()))
-        table, sizes, split = table.take(pa.array(order)), sizes[order], [split[k] for k in order]
-        shard = table["shard"].to_numpy()
-        shard = np.cumsum(np.r_[False, shard[1:] != shard[:-1]])
+        code = table["code"].to_numpy()
+        order = _order(table["shard"].to_numpy(), code.view(np.uint64) & np.uint64(0xFFFF), code)
+        table = table.take(pa.array(order))
+        text, shard, line = table["words"].to_pylist(), table["shard"].to_numpy(), table["line"].to_pylist()
+        fresh = np.r_[True, (shard[1:] != shard[:-1]) | np.array([a != b for a, b in zip(line, line[1:])], bool)]
+        if not fresh.all():
+            table = table.filter(pa.array(fresh))
+            text, shard, line = table["words"].to_pylist(), table["shard"].to_numpy(), table["line"].to_pylist()
+        group = np.cumsum(np.r_[False, shard[1:] != shard[:-1]])
+        sizes = np.array([x.count(b" ") + 1 for x in text])
         bits, k = [], 0
-        while k < len(split):
-            to = k + max(1, int(np.searchsorted(np.cumsum(sizes[k : k + 100_000]), 1 << 19, "right")))
-            bits.append(parities(_hashes([w for x in split[k:to] for w in x]), sizes[k:to], 64))
+        sums = np.cumsum([len(x) for x in text])
+        while k < len(text):
+            to = max(k + 1, int(np.searchsorted(sums, sums[k] + (1 << 20))))
+            bits.append(parities(word_hashes(text[k:to])[0], sizes[k:to], 32))
             k = to
-        root = np.arange(len(split))
-        for i, j in close_pairs(shard, np.minimum(sizes, 0xFFFF), np.concatenate(bits, 1), table["asks"].to_numpy(zero_copy_only=False), similarity):
-            while (root[root] != root).any():
-                root = root[root]
-            apart = root[i] != root[j]
-            for x, y in zip(i[apart].tolist(), j[apart].tolist()):
-                a, b = x, y
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                if a != b and edit_similarity(split[x], split[y]) >= similarity:
-                    root[max(a, b)] = min(a, b)
-        while (root[root] != root).any():
-            root = root[root]
-        grouped = np.bincount(root, minlength=len(root))[root] > 1
-        keys, at = table["line"], np.flatnonzero(grouped)
-        ends = [keys.take(pa.array(x)).combine_chunks() for x in (at, root[at])]
-        yield pa.RecordBatch.from_arrays([*ends, table["whole"].take(pa.array(at)).combine_chunks()], names=["node", "root", "whole"])
-
-    marked = lines.join(F.broadcast(hot.select("root", "hot")) if hot.count() <= HOT_BROADCAST else hot.select("root", "hot"), "root", "left")
-    marked = marked.withColumn("whole", F.col("hot").isNull()).drop("hot")
-    dealt = _spread(marked, "root", hot.drop("hot"), "code").select("shard", "line", "code", "words", "asks", "whole")
-    found = materialize(dealt.mapInArrow(run, "node binary, root binary, whole boolean"), "similar")
+        parent = list(range(len(text)))
+        split: dict[int, list[bytes]] = {}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def words(x: int) -> list[bytes]:
+            if x not in split:
+                if len(split) > 10_000:
+                    split.clear()
+                split[x] = text[x].split(b" ")
+            return split[x]
+
+        def confirm(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            alike = np.zeros(len(i), bool)
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+                a, b = top(x), top(y)
+                if a == b:
+                    alike[k] = True
+                elif edit_similarity(words(x), words(y)) >= similarity:
+                    alike[k] = True
+                    parent[max(a, b)] = min(a, b)
+            return alike
+
+        link(group, np.minimum(sizes, 0xFFFF), np.concatenate(bits), table["asks"].to_numpy(zero_copy_only=False), similarity, confirm)
+        root = np.array([top(x) for x in range(len(text))])
+        at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        whole, pivot = table["whole"].to_pylist(), table["pivot"].to_pylist()
+        out = [(line[x], line[root[x]], whole[x]) for x in at.tolist()] + [(x, p, False) for x, p in zip(line, pivot) if p is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], names=["node", "root", "whole"])
+
+    dealt = _dealt(lines, groups, similarity)
+    found = materialize(dealt.repartition("shard").mapInArrow(run, "node binary, root binary, whole boolean"), "similar")
     roots = found.where("whole").select("node", "root")
-    if hot.limit(1).count():
+    if found.where("NOT whole").limit(1).count():
         roots = roots.union(connected_components(found.where("NOT whole"), "node", "root"))
     return roots
 
 
-def line_groups(lines: DataFrame, docs: DataFrame, least_words: int, similarity: float) -> DataFrame:
-    """``(line, first)`` of each line that occurs more than once or is similar to another: the first occurrence, by id,
-    text hash and line number, of its group."""
-    distinct = materialize(
-        lines.groupBy("line").agg(
-            F.min(F.struct("_id", "_hash", "line_no")).alias("first"), F.count("*").alias("n"), F.min("code").alias("code")
-        ),
-        "lines",
-    )
-    groups = candidates(docs, least_words, similarity)
-    # lines that differ but share a code meet as well
-    alike = distinct.groupBy("code").agg(F.count("*").alias("same")).where("same > 1")
-    close = groups.union(alike.join(groups, F.col("code") == F.col("node"), "left_anti").select("code", "code"))
-    wanted = materialize(distinct.join(close, F.col("code") == F.col("node")).drop("node"), "wanted")
-    roots = materialize(_verified(materialize(_texts(docs, wanted, least_words), "words"), similarity), "roots")
-    alone = distinct.where("n > 1").join(roots, F.col("line") == F.col("node"), "left_anti").select("line", "first")
-    linked = wanted.drop("root").join(roots, F.col("line") == F.col("node")).select("line", "root", "first")
-    firsts = linked.groupBy("root").agg(F.min("first").alias("first"))
-    return alone.union(linked.drop("first").join(firsts, "root").select("line", "first"))
-
-
-def dedup_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least_words: int = LEAST_WORDS,
-    similarity: float = SIMILARITY,
-) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``(row, text, n_lines, n_removed, share_left)`` of every row; ``row`` is the input row as a struct.
 
-    Lines are what newlines separate. Lines of ``least_words`` words or more (runs of anything but white space and
-    punctuation, any case) link if the edit similarity of their words is ``similarity`` or more; of each connected group the first occurrence stays, by
-    id (nulls first), text hash and line number. Other lines always stay. ``text`` is what stays, joined by newlines:
-    empty if nothing does, null for a null text; ``share_left`` is the share of its words that stays (1 where no line
-    goes). Rows that repeat an id and text count once and all get the same result. An empty table gives an empty result;
-    input columns of any name ride along in ``row``.
+    Lines are what newlines separate; words are runs of anything but white space and punctuation, in any case. Lines with
+    words link if they have equal words or the edit similarity of their words is ``similarity`` or more (for lines of
+    under five words and 0.8 that is equality); of each connected group the first occurrence stays, by id (nulls first),
+    text hash and line number. Lines without words always stay. ``text`` is what stays, joined by newlines: empty if
+    nothing does, null for a null text; ``share_left`` is the share of its words that stays (1 where no line goes). Rows
+    that repeat an id and text count once and all get the same result. An empty table gives an empty result; input
+    columns of any name ride along in ``row``. A very long text is one row of one task at a time, a very long line is
+    compared like any other; hot lines and groups are dealt to many tasks.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"))
     plain = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    lines = materialize(_lines(plain, plain.schema["_id"], least_words), "occurrences")
-    groups = line_groups(lines, plain, least_words, similarity)
-    is_first = (
-        F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("line_no") == F.col("first.line_no"))
+    groups = candidates(plain, similarity)
+    lines = materialize(_lines(plain, plain.schema["_id"], groups), "lines")
+    texts = lines.where(F.col("words").isNotNull()).select("line", "code", "words")
+    texts = materialize(texts.join(groups, F.col("code") == F.col("node")).select("line", "code", "words", "root"), "words")
+    roots = materialize(_verified(texts, groups, similarity), "roots")
+    release(texts, groups)
+    again = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select(F.col("line").alias("node"))
+    involved = roots.union(again.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    marked = materialize(
+        lines.select("_id", "_hash", "line_no", "line").join(involved, F.col("line") == F.col("node")).select("_id", "_hash", "line_no", "root"), "marked"
     )
-    removed = (
-        lines.join(groups, "line")
-        .where(~is_first)
-        .groupBy(F.col("_id").alias("_doc"), F.col("_hash").alias("_doc_hash"))
-        .agg(F.collect_set("line_no").alias("gone"))
+    release(lines, roots)
+    firsts = marked.groupBy("root").agg(F.min(F.struct("_id", "_hash", "line_no")).alias("first"))
+    both = marked.select("_id", "_hash", "line_no", F.lit(False).alias("stays")).union(firsts.select("first._id", "first._hash", "first.line_no", F.lit(True)))
+    gone = (
+        both.groupBy(F.col("_id").alias("_doc"), F.col("_hash").alias("_doc_hash"))
+        .agg(F.collect_set(F.when(~F.col("stays"), F.col("line_no"))).alias("met"), F.collect_set(F.when(F.col("stays"), F.col("line_no"))).alias("kept"))
+        .select("_doc", "_doc_hash", F.array_except("met", "kept").alias("gone"))
+        .where(F.size("gone") > 0)
     )
-    joined = rows.join(removed, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_doc_hash")), "left")
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_doc_hash")), "left")
     whole = F.col(f"row.`{text_col}`")
     left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.map_contains_key("_gone", i)), "\n")
     n_words = lambda c: F.size(F.array_remove(F.split(c, "[\\x20\\x09-\\x0D]+"), ""))

@@ -7,9 +7,11 @@ import pytest
 from granary.llm import line_dedup
 
 
-@pytest.mark.parametrize("hot", [4, 2048])
-def test_every_similar_line_is_linked(spark, monkeypatch, hot):
-    monkeypatch.setattr(line_dedup, "HOT_SHARD", hot)
+@pytest.mark.parametrize("shard, word, large", [(4, 1, 256), (4096, 4, 2), (4096, 4096, 256)])
+def test_every_similar_line_is_linked(spark, monkeypatch, shard, word, large):
+    monkeypatch.setattr(line_dedup, "HOT_SHARD", shard)
+    monkeypatch.setattr(line_dedup, "HOT_WORD", word)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     draw = random.Random(11)
     word = lambda: f"w{min(int(draw.paretovariate(0.4)), 4000)}"
     lines = []
@@ -29,10 +31,23 @@ def test_every_similar_line_is_linked(spark, monkeypatch, hot):
     group = list(range(len(lines)))
     for a, u in enumerate(lines):
         for b in range(a + 1, len(lines)):
-            if min(len(u), len(lines[b])) >= 5 and group[a] != group[b] and line_dedup.edit_similarity(u, lines[b]) >= 0.8:
+            if group[a] != group[b] and line_dedup.edit_similarity(u, lines[b]) >= 0.8:
                 x, y = group[a], group[b]
                 group = [min(x, y) if g in (x, y) else g for g in group]
     docs = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in enumerate(lines)], "doc_id long, text string")
     got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).where("n_removed > 0").select("row.doc_id").collect()}
     want = {i for i, g in enumerate(group) if g != i}
     assert len(want) > 100 and got == want
+
+
+def test_a_thousand_near_copies_and_a_hot_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_SHARD", 64)
+    monkeypatch.setattr(line_dedup, "LARGE", 16)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        w[i % 40], w[(i * 7 + 3) % 40] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(w) + "\nthis very line is in all of the documents"))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("row.doc_id", "n_removed")
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: 2 * (i > 0) for i in range(1000)}
