@@ -109,14 +109,40 @@ def _confirmed(kind: Kind, value: Column) -> Column:
     return mod97(value) if kind.name == "iban" else F.lit(True)
 
 
+#: Pieces that a sum of lengths stands for; two levels of sums give any start in a few steps.
+FAN = 64
+
+
+def _lengths(kind: Kind) -> Column:
+    """For each proposal, the code points from the end of the one before it to its own end."""
+    matches, between = F.col(f"m_{kind.name}"), F.col(f"p_{kind.name}")
+    return F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.length(m)).alias(f"l_{kind.name}")
+
+
+def _total(lengths: Column, after: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(lengths, after + 1, n), F.lit(0), lambda a, x: a + x)
+
+
+def _sums(lengths: str, name: str) -> Column:
+    """Sums of each FAN of the lengths."""
+    starts = F.when(F.size(lengths) > FAN, F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(FAN))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: _total(F.col(lengths), i, F.lit(FAN))).alias(name)
+
+
 def _spans(kind: Kind, number: int) -> Column:
     """Confirmed spans as structs that sort by start, then kind. Starts are sums over what stands between and within the
     proposals, so positions count code points."""
     matches, between = F.col(f"m_{kind.name}"), F.col(f"p_{kind.name}")
 
     def span(value: Column, i: Column) -> Column:
-        total = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
-        start = total(between, i + 1) + total(matches, i)
+        block = F.floor(i / FAN).cast("int")
+        top = F.floor(i / (FAN * FAN)).cast("int")
+        before = (
+            _total(F.col(f"t_{kind.name}"), F.lit(0), top)
+            + _total(F.col(f"b_{kind.name}"), top * FAN, block - top * FAN)
+            + _total(F.col(f"l_{kind.name}"), block * FAN, i - block * FAN)
+        )
+        start = before + F.length(F.get(between, i))
         around = F.concat_ws(" ", F.right(F.get(between, i), F.lit(NEAR)), F.left(F.get(between, i + 1), F.lit(NEAR)))
         context = F.when(F.lower(around).rlike(kind.words), F.lit(CONTEXT)).otherwise(F.lit(0.0))
         checksum = CHECKSUM if kind.name in ("card", "iban") else 0.0
@@ -143,8 +169,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, n_ssn, max_score, found)`` of every row.
 
     ``found`` is an array of (start, number, end, kind, score). Base kinds keep every confirmed span whatever its score;
-    added kinds need ENOUGH. One output row per input row, repeated rows repeat; a null text counts as empty (no spans,
-    the hash of the empty string, null ``max_score``). Other columns are not read. No shuffle.
+    added kinds need ENOUGH. One output row per input row, repeated rows and null ids repeat; a null text counts as empty
+    (no spans, the hash of the empty string, null ``max_score``); an empty table gives an empty result. Spans of one start
+    stand in the order of KINDS. A very long text costs what its length does: patterns never go back, starts are sums of
+    sums. Other columns are not read. No shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_t"))
@@ -157,6 +185,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.when(maybe, F.split("_t", kind.pattern, -1)).otherwise(none).alias(f"p_{kind.name}"),
         ]
     rows = rows.select(id_col, *proposed)
+    # each level is read more than once, so that it is computed once a text and not once a span
+    rows = rows.select("*", *map(_lengths, KINDS))
+    rows = rows.select("*", *(_sums(f"l_{k.name}", f"b_{k.name}") for k in KINDS))
+    rows = rows.select("*", *(_sums(f"b_{k.name}", f"t_{k.name}") for k in KINDS))
     rows = rows.select(id_col, *(_spans(k, i).alias(f"s_{k.name}") for i, k in enumerate(KINDS)))
     added = [F.filter(F.col(f"s_{k.name}"), lambda s: s["score"] >= ENOUGH) for k in ADDED]
     base = [F.col(f"s_{k.name}") for k in BASE]
