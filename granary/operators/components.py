@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.joins import salted_join
+from granary.operators.joins import counted_join
 from granary.operators.workspace import materialize, release
 
-#: Share of a round's edges that a node may have before its edges are dealt to many tasks.
-HUB_SHARE, HUB_LEAST = 1 / 64, 10_000
-
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Each edge (u, v) with the least of u and all of u's v's. The minimum is combined map-side; the edges of a hub, of
-    which there are at most 1 / HUB_SHARE, meet it in many tasks."""
-    grouped = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = grouped.select("u", F.least("u", "m").alias("m"), (F.col("n") > max(HUB_LEAST, total * HUB_SHARE)).alias("hub"))
-    hubs = F.broadcast(least.where("hub").select("u", F.lit(True).alias("is_hub")))
-    marked = edges.join(hubs, "u", "left")
-    plain = marked.where("is_hub IS NULL").drop("is_hub").join(least.where("NOT hub").drop("hub"), "u")
-    return plain.union(salted_join(marked.where("is_hub").drop("is_hub"), least.where("hub").drop("hub"), "u", "v"))
+    """Each edge (u, v) with the least of u and all of u's v's. The minimum is combined map-side; the edges of a hub meet
+    it where they are."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return counted_join(edges, least.select("u", F.least("u", "m").alias("m"), "n"), "u", "n", total)
 
 
 def _signature(edges: DataFrame) -> tuple:
