@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.operators.components import connected_components
-from granary.operators.workspace import materialize
+from granary.operators.joins import counted_join
+from granary.operators.workspace import materialize, release
 
-#: Distinct fingerprints of a shard above which its queries are dealt to several copies of its tree.
+#: Distinct fingerprints of a shard above which its tree is broadcast and its queries are dealt to all tasks.
 HOT_SHARD = 2048
+#: Nodes of all broadcast trees together (24 bytes each); with more, a hot shard's queries are dealt to so many copies of
+#: its tree at most.
+TREE_NODES, MOST_COPIES = 1 << 20, 16
 #: Mean fingerprints of a shard above which a scheme with more key bits is used. All schemes find the same links.
 FULL_SHARD = 64
 #: Rows of the table of hot shards up to which it is broadcast; a larger one is joined by a shuffle.
@@ -173,40 +177,18 @@ def _keys(fp: str, blocks: int, agree: int) -> list:
     ]
 
 
-def deal(codes: DataFrame, radius: int, code: str = "fp") -> DataFrame:
-    """``codes`` with ``kind``, ``shard`` and ``asks``, a row for each shard that a row belongs to: rows within the radius
-    of each other meet in one shard at least. A shard over HOT_SHARD rows, as a sixteenth of all codes shows it, is
-    copied; a row asks in one of the copies, and in it meets all others."""
-    total = codes.count()
-    keys = F.explode(F.array(*_keys(code, *scheme(total, radius)))).alias("k")
-    dealt = codes.select("*", keys).select(*codes.columns, "k.*")
-    drawn = dealt.where(F.pmod(F.xxhash64(F.lit("hot"), code), F.lit(16)) == 0).groupBy("kind", "bits").agg(F.count("*").alias("n"))
-    hot = drawn.where(F.col("n") > HOT_SHARD // 16).select("kind", "bits", F.ceil(F.col("n") * 16 / HOT_SHARD).cast("int").alias("copies"))
-    hot = materialize(hot, "hot")
-    if hot.count() <= HOT_BROADCAST:
-        hot = F.broadcast(hot)
-    copies = F.coalesce("copies", F.lit(1))
-    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
-    return (
-        dealt.join(hot, ["kind", "bits"], "left")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-        .select(
-            *codes.columns,
-            "kind",
-            F.xxhash64("kind", "bits", "copy").alias("shard"),
-            (F.pmod(F.xxhash64(code), copies) == F.col("copy")).alias("asks"),
-        )
-        .repartition(parts, "shard")
-    )
+def deal(codes: DataFrame, radius: int, code: str = "fp") -> tuple[DataFrame, DataFrame]:
+    """``(dealt, hot)``. ``dealt`` is ``codes`` with ``shard``, a row for each shard that a row belongs to: rows within the
+    radius of each other meet in one shard at least. ``hot`` are the shards over HOT_SHARD rows, with their ``rows``, as a
+    sixteenth of all codes shows them."""
+    keys = F.explode(F.array(*_keys(code, *scheme(codes.count(), radius)))).alias("k")
+    dealt = codes.select("*", keys).select(*codes.columns, F.xxhash64("k").alias("shard"))
+    drawn = dealt.where(F.pmod(F.xxhash64(F.lit("hot"), code), F.lit(16)) == 0).groupBy("shard").agg(F.count("*").alias("n"))
+    return dealt, materialize(drawn.where(F.col("n") > HOT_SHARD // 16).select("shard", (F.col("n") * 16).alias("rows")), "hot")
 
 
-def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
-    """Pairs ``(a, b)`` of codes that connect all codes within ``radius`` of each other: a spanning forest per shard,
-    never all pairs of a group.
-
-    ``codes`` holds distinct longs. They are dealt to shards by pigeonhole keys; each shard's tree is searched for
-    each of its codes.
-    """
+def _sharded_edges(dealt: DataFrame, radius: int) -> DataFrame:
+    """Links within shards whose rows, with ``asks``, meet in one task each."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -220,7 +202,63 @@ def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
         a, b = shard_edges(shard, fp.view(np.uint64), table["asks"].to_numpy(), radius)
         yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
-    return deal(codes.select(F.col(fp).alias("fp")), radius).mapInArrow(run, "a long, b long")
+    return dealt.select("fp", "shard", "asks").repartition("shard").mapInArrow(run, "a long, b long")
+
+
+def _broadcast_edges(hot: DataFrame, radius: int) -> DataFrame:
+    """Links within the hot shards: their trees are built once and broadcast, their codes are searched for in all tasks."""
+    held = hot.select("shard", "fp").toArrow()
+    shards, shard = np.unique(held["shard"].to_numpy(), return_inverse=True)
+    trees = hot.sparkSession.sparkContext.broadcast((shards, Forest(shard, held["fp"].to_numpy().view(np.uint64))))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        shards, forest = trees.value
+        root = np.arange(len(forest.code))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            start = forest.root[np.searchsorted(shards, batch.column(0).to_numpy())]
+            query = batch.column(1).to_numpy().view(np.uint64)
+            # a query is itself a node of its tree: the first found at distance zero stands for it
+            mine = np.full(len(query), -1)
+            for who, node in forest.search(query, start, 0):
+                mine[who] = node
+            for who, node in forest.search(query, start, radius):
+                _unite(root, mine[who], node)
+        while (root[root] != root).any():
+            root = root[root]
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        fp = forest.code.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
+
+    parts = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = hot.select("shard", "fp").repartition(min(parts, -(-held.num_rows // HOT_SHARD)), F.xxhash64("fp", "shard"))
+    return spread.mapInArrow(run, "a long, b long")
+
+
+def near_edges(codes: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
+    """Pairs ``(a, b)`` of codes that connect all codes within ``radius`` of each other: a spanning forest per shard and
+    task, never all pairs of a group.
+
+    ``codes`` holds distinct longs. They are dealt to shards by pigeonhole keys; each shard's tree is searched for each of
+    its codes, where the shard is or, if it is hot, in all tasks, to which the trees of hot shards are broadcast while they
+    have TREE_NODES nodes at most in all. Beyond that a hot shard is copied, MOST_COPIES times at most.
+    """
+    dealt, hot = deal(codes.select(F.col(fp).alias("fp")), radius)
+    asking = dealt.withColumn("asks", F.lit(True))
+    if not (n := hot.count()):
+        return _sharded_edges(asking, radius)
+    few = F.broadcast(hot) if n <= HOT_BROADCAST else hot
+    cold = _sharded_edges(asking.join(few.select("shard"), "shard", "left_anti"), radius)
+    crowded = materialize(dealt.join(few.select("shard", "rows"), "shard"), "crowded")
+    if crowded.count() <= TREE_NODES:
+        return cold.union(_broadcast_edges(crowded, radius))
+    copies = F.least(F.ceil(F.col("rows") / HOT_SHARD), F.lit(MOST_COPIES)).cast("int")
+    copied = crowded.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    copied = copied.select("fp", F.xxhash64("shard", "copy").alias("shard"), (F.pmod(F.xxhash64("fp"), "copies") == F.col("copy")).alias("asks"))
+    return cold.union(_sharded_edges(copied, radius))
 
 
 def near_duplicates(
@@ -235,13 +273,15 @@ def near_duplicates(
     result. Other columns are not read.
     """
     found = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    codes = found.groupBy("fp").agg(F.min(id_col).alias("least"))
+    codes = materialize(found.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "codes")
     roots = connected_components(near_edges(codes.select("fp"), radius))
     grouped = codes.join(roots, codes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     )
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select(
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    grouped = counted_join(grouped, least, "root", "m", codes.count())
+    classes = materialize(grouped.select("fp", "component_id", "n"), "classes")
+    release(codes)
+    return counted_join(found, classes, "fp", "n", found.count()).select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
