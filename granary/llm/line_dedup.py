@@ -25,17 +25,22 @@ from granary.operators.workspace import materialize, release
 #: Least edit similarity of linked lines.
 SIMILARITY = 0.8
 #: Bounds of a line's words from which its fingerprint has the next number of 64-bit words.
-WIDTHS = ((0, 2), (100, 4), (200, 8), (480, 16))
+WIDTHS = ((0, 2), (100, 4), (200, 8), (480, 16), (800, 32), (1600, 64), (3200, 128), (6400, 256))
 #: Share of the documents whose words show which are rare, at least so many, and the places (as a power of 2) of the table
 #: that tells. They order words: what they hold changes the number of candidates, never a result.
 SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
+#: The same sample for keys of very many lines.
+HOT_LEAST = 4096
 #: Lines that may hold a word before it stands for candidates only together with a second one.
 HOT_WORD = 4096
 #: Rows of a key, or lines of a candidate group, above which they are dealt to several tasks; how many keys are looked up
 #: for that (their rows stay together beyond it).
 HOT_SHARD, HOT_KEYS = 4096, 100_000
-#: Rows of a group from which a first line is compared with all others before any others are compared.
-LARGE = 256
+#: Rows of a key, and lines of a candidate group, from which a first line is compared with all others before any others are
+#: compared.
+LARGE_KEY, LARGE = 4096, 64
+#: Words of a line from which its words are compared as a multiset before they are compared in order.
+LONG = 1024
 #: Bits of the filter that tells which lines' words are worth sending: its size is fixed, and what it lets through in
 #: vain is dropped by an exact join.
 FILTER_BITS = 1 << 26
@@ -181,7 +186,8 @@ def runs_of_lines(texts: Iterator[str], similarity: float) -> Iterator[tuple[lis
     """(codes, lines) of the distinct lines of a run of texts that can be similar to others without being equal, in pieces
     that ``prefixes`` can take."""
     seen, codes, lines, size = set(), [], [], 0
-    least = int(np.ceil(1 / (1 - similarity) - 1e-6)) - 1 if similarity < 1 else 1 << 62
+    # the shortest line to which one edit may leave another similar has one word less than that
+    least = int(np.ceil(1 / (1 - similarity) - 1e-6)) - 2 if similarity < 1 else 1 << 62
     for text in texts:
         for line in canonical(text):
             if line and (n := line.count(b" ")) >= least and (code := _code(xxhash.xxh3_128_digest(line), n + 1)) not in seen:
@@ -229,7 +235,10 @@ def _keyed(texts: Iterator[str], rarity: tuple, similarity: float) -> Iterator[t
             bits = parities(hashes[np.repeat(kinds == w, sizes)], sizes[chosen], WIDTHS[w][1])
             of = np.flatnonzero(kinds[line] == w)
             at = np.searchsorted(chosen, line[of])
-            yield key[of], codes[chosen[at]], sizes[chosen[at]], bits[at], w
+            step = (1 << 22) // WIDTHS[w][1]
+            for k in range(0, len(of), step):
+                some = at[k : k + step]
+                yield key[of[k : k + step]], codes[chosen[some]], sizes[chosen[some]], bits[some], w
 
 
 def close(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
@@ -239,24 +248,23 @@ def close(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) ->
     return np.where(longer >= 0xFFFF, True, fits)
 
 
-def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float, confirm: Callable) -> None:
+def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float, large: int, confirm: Callable) -> None:
     """Pass pairs of rows that may be similar to ``confirm(i, j)``, which links those that are and says which they are.
-    Rows are sorted by group (dense numbers), then n. Pairs of rows that both do not ask are known to be connected. In a
-    large group a first line is compared with all others; those that are linked to it need no comparison among
-    themselves, so many copies of one text cost a comparison each."""
+    Rows are sorted by group, then n; ``bits`` has a column a row. Pairs of rows that both do not ask are known to be
+    connected. In a group of ``large`` rows a first line is compared with all others; those that are linked to it need no
+    comparison among themselves, so many copies of one text cost a comparison each."""
     n = np.minimum(n, 0xFFFF).astype(np.int64)
     asks = asks.copy()
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
-    large = ends - starts > LARGE
     last = np.where(n == 0xFFFF, 1 << 30, (n / similarity + 1e-6).astype(np.int64))
 
     def against(i: int, rows: np.ndarray) -> np.ndarray:
         """Those of ``rows`` that are linked to row i."""
-        near = rows[close(n[rows], n[i], np.bitwise_count(bits[rows] ^ bits[i]).sum(1, dtype=np.int64), similarity)]
+        near = rows[close(n[rows], n[i], np.bitwise_count(bits[:, rows] ^ bits[:, i, None]).sum(0, dtype=np.int64), similarity)]
         return near[confirm(np.full(len(near), i), near)] if len(near) else near
 
-    for a, b in zip(starts[large], ends[large]):
+    for a, b in zip(starts[ends - starts > large], ends[ends - starts > large]):
         if asks[a:b].all():
             first = (a + b) // 2
             asks[against(first, np.r_[a:first, first + 1 : b])] = False
@@ -266,17 +274,33 @@ def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, s
         for i in np.flatnonzero(asks[a:b]) + a:
             # what is shorter and asks has met this row already
             against(i, np.r_[low[i - a] + np.flatnonzero(~asks[low[i - a] : i]), i + 1 : high[i - a]])
-    small = np.repeat(~large, ends - starts)
-    end = np.searchsorted(group << 31 | n, group << 31 | last, "right")
-    at, k = np.flatnonzero(small), 0
-    while len(at):
+    # how many of the next rows are of the same group and not too long; rows of groups that end early come first, so what
+    # is left at each distance is one slice
+    reach = np.minimum(np.searchsorted(group << 31 | n, group << 31 | last, "right") - np.arange(len(n)) - 1, np.repeat(np.where(ends - starts > large, 0, 1 << 30), ends - starts))
+    most = np.repeat(np.maximum.reduceat(reach, starts), ends - starts)
+    order = np.argsort(most, kind="stable")
+    order = order[most[order] > 0]
+    n, asks, bits, reach, most = n[order].astype(np.int32), asks[order], bits[:, order], reach[order].astype(np.int32), most[order]
+    # bits apart must be this many at most, less what the shorter line lacks
+    room = np.where(n == 0xFFFF, 1 << 29, 2 * _allowed(n, similarity) - n).astype(np.int32)
+    all_ask = asks.all()
+    start = k = 0
+    while True:
         k += 1
-        at = at[at + k < end[at]]
-        near = at[asks[at] | asks[at + k]]
-        if len(near):
-            near = near[close(n[near], n[near + k], np.bitwise_count(bits[near] ^ bits[near + k]).sum(1, dtype=np.int64), similarity)]
-        if len(near):
-            confirm(near, near + k)
+        start += int(np.searchsorted(most[start:], k))
+        if start + k >= len(n):
+            break
+        for a in range(start, len(n) - k, 1 << 16):
+            b = min(a + (1 << 16), len(n) - k)
+            apart = np.bitwise_count(bits[0, a:b] ^ bits[0, a + k : b + k]).astype(np.int32)
+            for row in bits[1:]:
+                apart += np.bitwise_count(row[a:b] ^ row[a + k : b + k])
+            fits = (apart <= room[a + k : b + k] + n[a:b]) & (reach[a:b] >= k)
+            if not all_ask:
+                fits &= asks[a:b] | asks[a + k : b + k]
+            near = np.flatnonzero(fits) + a
+            if len(near):
+                confirm(order[near], order[near + k])
 
 
 def _order(group: np.ndarray, n: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -318,7 +342,7 @@ def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
             _unite(parent, root[1][i], root[1][j])  # noqa: B023
             return np.ones(len(i), bool)
 
-        link(group, n, rows[:, 2:], (rows[:, 0] & np.uint64(1)).astype(bool), similarity, confirm)
+        link(group, n, np.ascontiguousarray(rows[:, 2:].T), (rows[:, 0] & np.uint64(1)).astype(bool), similarity, LARGE_KEY, confirm)
         while (parent[parent] != parent).any():
             parent = parent[parent]
         linked = np.flatnonzero(parent != np.arange(len(parent)))
@@ -352,7 +376,7 @@ def _split_hot(keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: np.
     not be compared with each other; the others go to all parts and are compared with everything. Also links with the
     lines of the keys."""
     listed = np.fromiter(hot, np.uint64, len(hot))
-    at = np.flatnonzero(np.isin(keys, listed))
+    at = np.flatnonzero(np.isin(keys, listed)) if hot else listed
     if not len(at):
         return keys | np.uint64(1), codes, bits, np.empty((0, 2), np.uint64)
     rest = np.setdiff1d(np.arange(len(keys)), at)
@@ -384,10 +408,11 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
     batch."""
     spark = docs.sparkSession
     total = max(docs.count(), 1)
+    drawn = lambda share: docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
     share = min(1.0, max(SAMPLE_LEAST / total, SAMPLE_SHARE))
-    drawn = docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
-    rarity = spark.sparkContext.broadcast(_rarity(drawn, share, similarity))
-    hot = spark.sparkContext.broadcast(_hot_keys(drawn, share, rarity, similarity))
+    rarity = spark.sparkContext.broadcast(_rarity(drawn(share), share, similarity))
+    share = min(1.0, max(HOT_LEAST / total, SAMPLE_SHARE))
+    hot = spark.sparkContext.broadcast(_hot_keys(drawn(share), share, rarity, similarity))
     parts = max(spark.sparkContext.defaultParallelism, int(rarity.value[2] * KEY_BYTES) >> 24)
 
     def send(batches: Iterator) -> Iterator:
@@ -397,10 +422,11 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
             at, kind, blob = [], [], []
             for w, pieces in held.items():
                 rows = np.concatenate(pieces)
-                to = (rows[:, 0] >> np.uint64(1)) % np.uint64(parts)
+                to = ((rows[:, 0] >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint64)
                 order = np.argsort(to, kind="stable")
                 rows, to = rows[order], to[order]
-                cut = np.searchsorted(to, np.arange(parts + 1, dtype=np.uint64))
+                cut = np.searchsorted(to, np.arange(parts))
+                cut = np.r_[cut, len(to)]
                 for p in np.flatnonzero(np.diff(cut)):
                     at.append(int(p))
                     kind.append(w)
@@ -560,7 +586,7 @@ def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFra
         sums = np.cumsum([len(x) for x in text])
         while k < len(text):
             to = max(k + 1, int(np.searchsorted(sums, sums[k] + (1 << 20))))
-            bits.append(parities(word_hashes(text[k:to])[0], sizes[k:to], 32))
+            bits.append(parities(word_hashes(text[k:to])[0], sizes[k:to], 32).T)
             k = to
         parent = list(range(len(text)))
         split: dict[int, list[bytes]] = {}
@@ -577,18 +603,26 @@ def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFra
                 split[x] = text[x].split(b" ")
             return split[x]
 
+        def few(x: int, y: int) -> bool:
+            """Whether long lines lack too many of each other's words to be similar."""
+            if max(sizes[x], sizes[y]) < LONG:
+                return False
+            a, b = (np.sort(word_hashes([text[v]])[0]) for v in (x, y))
+            common = np.minimum(*(np.searchsorted(v, u, "right") - np.searchsorted(v, u) for u in [np.unique(a)] for v in (a, b))).sum()
+            return max(sizes[x], sizes[y]) - common > _allowed(max(sizes[x], sizes[y]), similarity)
+
         def confirm(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             alike = np.zeros(len(i), bool)
             for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
                 a, b = top(x), top(y)
                 if a == b:
                     alike[k] = True
-                elif edit_similarity(words(x), words(y)) >= similarity:
+                elif not few(x, y) and edit_similarity(words(x), words(y)) >= similarity:
                     alike[k] = True
                     parent[max(a, b)] = min(a, b)
             return alike
 
-        link(group, np.minimum(sizes, 0xFFFF), np.concatenate(bits), table["asks"].to_numpy(zero_copy_only=False), similarity, confirm)
+        link(group, np.minimum(sizes, 0xFFFF), np.ascontiguousarray(np.concatenate(bits, 1)), table["asks"].to_numpy(zero_copy_only=False), similarity, LARGE, confirm)
         root = np.array([top(x) for x in range(len(text))])
         at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         whole, pivot = table["whole"].to_pylist(), table["pivot"].to_pylist()
@@ -608,7 +642,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are what newlines separate; words are runs of anything but white space and punctuation, in any case. Lines with
     words link if they have equal words or the edit similarity of their words is ``similarity`` or more (for lines of
-    under five words and 0.8 that is equality); of each connected group the first occurrence stays, by id (nulls first),
+    under four words and 0.8 that is equality); of each connected group the first occurrence stays, by id (nulls first),
     text hash and line number. Lines without words always stay. ``text`` is what stays, joined by newlines: empty if
     nothing does, null for a null text; ``share_left`` is the share of its words that stays (1 where no line goes). Rows
     that repeat an id and text count once and all get the same result. An empty table gives an empty result; input

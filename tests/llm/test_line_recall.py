@@ -7,11 +7,13 @@ import pytest
 from granary.llm import line_dedup
 
 
-@pytest.mark.parametrize("shard, word, large", [(4, 1, 256), (4096, 4, 2), (4096, 4096, 256)])
+@pytest.mark.parametrize("shard, word, large", [(4, 1, 64), (4096, 4, 2), (4096, 4096, 64)])
 def test_every_similar_line_is_linked(spark, monkeypatch, shard, word, large):
     monkeypatch.setattr(line_dedup, "HOT_SHARD", shard)
     monkeypatch.setattr(line_dedup, "HOT_WORD", word)
     monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "LARGE_KEY", large)
+    monkeypatch.setattr(line_dedup, "LONG", 100)
     draw = random.Random(11)
     word = lambda: f"w{min(int(draw.paretovariate(0.4)), 4000)}"
     lines = []
@@ -43,6 +45,7 @@ def test_every_similar_line_is_linked(spark, monkeypatch, shard, word, large):
 def test_a_thousand_near_copies_and_a_hot_line(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT_SHARD", 64)
     monkeypatch.setattr(line_dedup, "LARGE", 16)
+    monkeypatch.setattr(line_dedup, "LARGE_KEY", 16)
     base = [f"b{k}" for k in range(40)]
     rows = []
     for i in range(1000):
