@@ -354,21 +354,37 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
     """The keys of very many lines: into how many parts to deal their rows, and a line (its code, words, bits) that most
     of them are likely to be close to."""
 
-    def run(batches: Iterator) -> Iterator:
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for keys, *_ in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+            met, n = np.unique(keys & ~np.uint64(1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(met.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counted = drawn.select("_text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    listed = counted.where(F.col("n") > max(8, HOT_SHARD * share)).orderBy(F.desc("n"), "key").limit(HOT_KEYS).toArrow()
+    if not listed.num_rows:
+        return {}
+    hot = drawn.sparkSession.sparkContext.broadcast(np.sort(listed["key"].to_numpy().view(np.uint64)))
+
+    def line(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for keys, codes, sizes, bits, w in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
-            keys, held = keys & ~np.uint64(1), pa.array([x.tobytes() for x in bits], pa.binary())
+            keys &= ~np.uint64(1)
+            at = np.flatnonzero(np.isin(keys, hot.value))
+            # one line of each key and run will do
+            at = at[np.unique(keys[at], return_index=True)[1]]
+            held = pa.array([x.tobytes() for x in bits[at]], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(codes.view(np.int64)), pa.array(sizes.astype(np.int64)), held], names=["key", "code", "n", "bits"]
+                [pa.array(keys[at].view(np.int64)), pa.array(codes[at].view(np.int64)), pa.array(sizes[at].astype(np.int64)), held], names=["key", "code", "n", "bits"]
             )
 
-    rows = drawn.select("_text").mapInArrow(run, "key long, code long, n long, bits binary")
-    found = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max_by(F.struct("code", "n", "bits"), F.xxhash64("code")).alias("line"))
-    found = found.where(F.col("rows") > max(8, HOT_SHARD * share)).orderBy(F.desc("rows"), "key").limit(HOT_KEYS)
+    rows = drawn.select("_text").mapInArrow(line, "key long, code long, n long, bits binary")
+    lines = rows.groupBy("key").agg(F.max_by(F.struct("code", "n", "bits"), F.xxhash64("code")).alias("line")).select("key", "line.*").toArrow()
+    number = dict(zip(listed["key"].to_pylist(), listed["n"].to_pylist()))
     parts = lambda n: int(np.ceil(n / share / HOT_SHARD))
-    table = found.select("key", "rows", "line.*").toArrow().to_pylist()
-    return {x["key"] & (1 << 64) - 1: (parts(x["rows"]), x["code"] & (1 << 64) - 1, x["n"], x["bits"]) for x in table}
+    return {x["key"] & (1 << 64) - 1: (parts(number[x["key"]]), x["code"] & (1 << 64) - 1, x["n"], x["bits"]) for x in lines.to_pylist()}
 
 
 def _split_hot(keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, hot: dict, similarity: float) -> tuple[np.ndarray, ...]:
