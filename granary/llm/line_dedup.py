@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -25,7 +26,7 @@ from granary.operators.workspace import materialize, release
 #: Least edit similarity of linked lines.
 SIMILARITY = 0.8
 #: Bounds of a line's words from which its fingerprint has the next number of 64-bit words.
-WIDTHS = ((0, 2), (100, 4), (200, 8), (480, 16), (800, 32), (1600, 64), (3200, 128), (6400, 256))
+WIDTHS = ((0, 2), (100, 4), (220, 8), (500, 16), (1050, 32), (2200, 64), (4400, 128), (8800, 256))
 #: Share of the documents whose words show which are rare, at least so many, and the places (as a power of 2) of the table
 #: that tells. They order words: what they hold changes the number of candidates, never a result.
 SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
@@ -46,15 +47,23 @@ LONG = 1024
 FILTER_BITS = 1 << 26
 #: Bytes of keys for each word of the corpus, about; a partition of keys has some 16 MB.
 KEY_BYTES = 9
+#: Bytes of keys that a task packs at once, and rows of them that it makes at once (in 64-bit words of fingerprints).
+PACKED, MADE = 1 << 23, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
 _BLANKED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
+_PLAIN = bytes(range(256)).lower().translate(_BLANKED)
 _BEYOND = re.compile(r"[^\w\x00-\x7F]+")
-_draw = np.random.default_rng(1)
-_BYTES = _draw.integers(0, 1 << 64, 256, np.uint64)
+_BYTES = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64)
 _BYTES[[10, 32]] = 0
-_PLACES = _draw.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    base = 0x5851F42D4C957F2D
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
 
 
 def _blank(run: re.Match) -> str:
@@ -62,13 +71,14 @@ def _blank(run: re.Match) -> str:
     return "".join(c if unicodedata.category(c)[0] == "M" else " " for c in run[0])
 
 
-def canonical(text: str) -> list[bytes]:
+def canonical(text: str | bytes) -> list[bytes]:
     """The words of each line of a text, one blank between them, in lower case and without punctuation, ASCII or other:
     what equality and similarity are about."""
-    text = text.lower()
-    if not text.isascii():
-        text = _BEYOND.sub(_blank, text)
-    raw = text.encode("utf-8", "replace").translate(_BLANKED)
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    if raw.isascii():
+        raw = raw.translate(_PLAIN)
+    else:
+        raw = _BEYOND.sub(_blank, raw.decode("utf-8", "replace").lower()).encode("utf-8", "replace").translate(_BLANKED)
     while b"  " in raw:
         raw = raw.replace(b"  ", b" ")
     return [x.strip(b" ") for x in raw.split(b"\n")]
@@ -120,8 +130,8 @@ def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     gaps = np.flatnonzero((text == 32) | (text == 10))
     starts = np.r_[0, gaps[:-1] + 1]
-    within = np.arange(len(text)) - np.repeat(starts, gaps - starts + 1)
-    hashes = np.add.reduceat(_BYTES[text] * _PLACES[within & 255], starts)
+    up, down = _powers(max(1 << 21, 1 << len(text).bit_length()))
+    hashes = np.add.reduceat(_BYTES[text] * up[: len(text)], starts) * down[starts]
     hashes = (hashes ^ hashes >> np.uint64(31)) * MIX
     return hashes ^ hashes >> np.uint64(29), np.diff(np.flatnonzero(text[gaps] == 10), prepend=-1)
 
@@ -182,7 +192,14 @@ def parities(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def runs_of_lines(texts: Iterator[str], similarity: float) -> Iterator[tuple[list[int], list[bytes]]]:
+def _texts(batches: Iterator) -> Iterator[bytes]:
+    """The texts of Arrow batches of one column, as they are encoded."""
+    for batch in batches:
+        for text in batch.column(0).cast("large_binary"):
+            yield text.as_py()
+
+
+def runs_of_lines(texts: Iterator[str | bytes], similarity: float) -> Iterator[tuple[list[int], list[bytes]]]:
     """(codes, lines) of the distinct lines of a run of texts that can be similar to others without being equal, in pieces
     that ``prefixes`` can take."""
     seen, codes, lines, size = set(), [], [], 0
@@ -210,7 +227,7 @@ def _rarity(sample: DataFrame, share: float, similarity: float) -> tuple[np.ndar
         import pyarrow as pa
 
         counts = np.zeros(1 << COUNT_BITS, np.int64)
-        for _, lines in runs_of_lines((x.as_py() for b in batches for x in b.column(0)), similarity):
+        for _, lines in runs_of_lines(_texts(batches), similarity):
             at, n = np.unique(word_hashes(lines)[0] >> np.uint64(64 - COUNT_BITS), return_counts=True)
             counts[at.astype(np.int64)] += n
         met = np.flatnonzero(counts)
@@ -235,7 +252,7 @@ def _keyed(texts: Iterator[str], rarity: tuple, similarity: float) -> Iterator[t
             bits = parities(hashes[np.repeat(kinds == w, sizes)], sizes[chosen], WIDTHS[w][1])
             of = np.flatnonzero(kinds[line] == w)
             at = np.searchsorted(chosen, line[of])
-            step = (1 << 22) // WIDTHS[w][1]
+            step = MADE // WIDTHS[w][1]
             for k in range(0, len(of), step):
                 some = at[k : k + step]
                 yield key[of[k : k + step]], codes[chosen[some]], sizes[chosen[some]], bits[some], w
@@ -357,7 +374,7 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for keys, *_ in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+        for keys, *_ in _keyed(_texts(batches), rarity.value, similarity):
             met, n = np.unique(keys & ~np.uint64(1), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(met.view(np.int64)), pa.array(n)], names=["key", "n"])
 
@@ -370,7 +387,7 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
     def line(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for keys, codes, sizes, bits, w in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+        for keys, codes, sizes, bits, w in _keyed(_texts(batches), rarity.value, similarity):
             keys &= ~np.uint64(1)
             at = np.flatnonzero(np.isin(keys, hot.value))
             # one line of each key and run will do
@@ -450,13 +467,13 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["part", "kind", "blob"])
 
         held, size = {}, 0
-        for keys, codes, sizes, bits, w in _keyed((x.as_py() for b in batches for x in b.column(0)), rarity.value, similarity):
+        for keys, codes, sizes, bits, w in _keyed(_texts(batches), rarity.value, similarity):
             keys, codes, bits, edges = _split_hot(keys & ~np.uint64(1), codes, sizes, bits, hot.value, similarity)
             held.setdefault(int(w), []).append(np.concatenate([keys[:, None], codes[:, None], bits], 1))
             if len(edges):
                 held.setdefault(-1, []).append(edges)
             size += sum(x[-1].nbytes for x in held.values())
-            if size > 1 << 26:
+            if size > PACKED:
                 yield packed(held)
                 held, size = {}, 0
         if held:
@@ -522,7 +539,7 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
         known = bits.value
         for batch in batches:
             row, number, text, line, code = [], [], [], [], []
-            for i, t in enumerate(batch.column(2)):
+            for i, t in enumerate(batch.column(2).cast("large_binary")):
                 for k, x in enumerate(canonical(t.as_py())):
                     if x:
                         row.append(i)
