@@ -31,7 +31,7 @@ WIDTHS = ((0, 2), (100, 4), (220, 8), (500, 16), (1050, 32), (2200, 64), (4400,
 #: that tells. They order words: what they hold changes the number of candidates, never a result.
 SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
 #: The same sample for keys of very many lines.
-HOT_LEAST = 4096
+HOT_LEAST = 1024
 #: Lines that may hold a word before it stands for candidates only together with a second one.
 HOT_WORD = 4096
 #: Rows of a key, or lines of a candidate group, above which they are dealt to several tasks; how many keys are looked up
@@ -45,10 +45,12 @@ LONG = 1024
 #: Bits of the filter that tells which lines' words are worth sending: its size is fixed, and what it lets through in
 #: vain is dropped by an exact join.
 FILTER_BITS = 1 << 26
-#: Bytes of keys for each word of the corpus, about; a partition of keys has some 16 MB.
+#: Bytes of keys for each word of the corpus, about; a partition of keys has some 8 MB.
 KEY_BYTES = 9
 #: Bytes of keys that a task packs at once, and rows of them that it makes at once (in 64-bit words of fingerprints).
 PACKED, MADE = 1 << 23, 1 << 20
+#: Bytes of lines whose words are hashed at once.
+RUN = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
@@ -130,7 +132,7 @@ def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     gaps = np.flatnonzero((text == 32) | (text == 10))
     starts = np.r_[0, gaps[:-1] + 1]
-    up, down = _powers(max(1 << 21, 1 << len(text).bit_length()))
+    up, down = _powers(max(1 << 19, 1 << len(text).bit_length()))
     hashes = np.add.reduceat(_BYTES[text] * up[: len(text)], starts) * down[starts]
     hashes = (hashes ^ hashes >> np.uint64(31)) * MIX
     return hashes ^ hashes >> np.uint64(29), np.diff(np.flatnonzero(text[gaps] == 10), prepend=-1)
@@ -212,7 +214,7 @@ def runs_of_lines(texts: Iterator[str | bytes], similarity: float) -> Iterator[t
                 codes.append(code)
                 lines.append(line)
                 size += len(line)
-                if size > 1 << 20:
+                if size > RUN:
                     yield codes, lines
                     codes, lines, size = [], [], 0
     if lines:
@@ -226,12 +228,12 @@ def _rarity(sample: DataFrame, share: float, similarity: float) -> tuple[np.ndar
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros(1 << COUNT_BITS, np.int32)
         for _, lines in runs_of_lines(_texts(batches), similarity):
             at, n = np.unique(word_hashes(lines)[0] >> np.uint64(64 - COUNT_BITS), return_counts=True)
-            counts[at.astype(np.int64)] += n
+            counts[at.astype(np.int64)] += n.astype(np.int32)
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met].astype(np.int64))], names=["place", "n"])
 
     table = sample.select("_text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     level = lambda n: np.minimum(12 * np.log2(1 + n), 255).astype(np.uint8)
@@ -446,7 +448,7 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
     rarity = spark.sparkContext.broadcast(_rarity(drawn(share), share, similarity))
     share = min(1.0, max(HOT_LEAST / total, SAMPLE_SHARE))
     hot = spark.sparkContext.broadcast(_hot_keys(drawn(share), share, rarity, similarity))
-    parts = max(spark.sparkContext.defaultParallelism, int(rarity.value[2] * KEY_BYTES) >> 24)
+    parts = max(spark.sparkContext.defaultParallelism, int(rarity.value[2] * KEY_BYTES) >> 23)
 
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -618,7 +620,7 @@ def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFra
         bits, k = [], 0
         sums = np.cumsum([len(x) for x in text])
         while k < len(text):
-            to = max(k + 1, int(np.searchsorted(sums, sums[k] + (1 << 20))))
+            to = max(k + 1, int(np.searchsorted(sums, sums[k] + RUN)))
             bits.append(parities(word_hashes(text[k:to])[0], sizes[k:to], 32).T)
             k = to
         parent = list(range(len(text)))
