@@ -36,14 +36,25 @@ WORD = r"[\p{L}\p{N}_ऀ-ॣ०-ॿ'‌‍]+"
 
 @F.pandas_udf(T.StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode composition, which no built-in function offers. Apply it at ingest, where a text may be decomposed."""
+    """Unicode composition, which no built-in function offers."""
     for texts in batches:
         yield texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def composed(text: Column) -> Column:
+    """The composed form (NFC) of a text. Texts of characters below U+0300 are composed already and stay in the JVM."""
+    return F.coalesce(nfc(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
+
+
+def normal(text: str) -> str:
+    """``normalize`` of a constant."""
+    low = unicodedata.normalize("NFC", text).lower().translate(str.maketrans(DEVANAGARI_DIGITS, ASCII_DIGITS))
+    return " ".join("".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in low).split())
+
+
 def normalize(text: Column) -> Column:
-    """Lower case, ASCII digits, everything but letters, digits and underscores to single blanks, trimmed. Expects NFC."""
-    t = F.translate(F.lower(text), DEVANAGARI_DIGITS, ASCII_DIGITS)
+    """Composed, in lower case, with ASCII digits, everything but letters, digits and underscores to single blanks, trimmed."""
+    t = F.translate(F.lower(composed(text)), DEVANAGARI_DIGITS, ASCII_DIGITS)
     return F.trim(F.regexp_replace(t, r"[^A-Za-z0-9_\p{L}\p{N}]+", " "))
 
 
@@ -88,14 +99,20 @@ def question_language(text: Column) -> Column:
     return F.when(detect_script(text) != "roman", "deva").when(nepali_markers(text, "roman") > 0, "roman").otherwise("en")
 
 
+#: What an amount looks like, and what stands for thousands and lakhs.
+THOUSANDS = r"([0-9]+(?:\.[0-9]+)?)\s*(?:k\b|hajar\b|hazar\b|हजार)"
+LAKHS = r"([0-9]+(?:\.[0-9]+)?)\s*(?:lakh\b|lac\b|लाख)"
+AMOUNT = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+
+
 def amounts_in(text: Column) -> Column:
     """The distinct amounts of a text in rupees: plain numbers, thousands (k, hajar) and lakhs."""
     t = F.lower(F.translate(text, DEVANAGARI_DIGITS, ASCII_DIGITS))
     number = lambda s: F.round(F.replace(s, F.lit(","), F.lit("")).cast("double"), 2)
     found = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    thousand = F.transform(found(r"([0-9]+(?:\.[0-9]+)?)\s*(?:k\b|hajar\b|hazar\b|हजार)", 1), lambda s: F.round(number(s) * 1000, 2))
-    lakh = F.transform(found(r"([0-9]+(?:\.[0-9]+)?)\s*(?:lakh\b|lac\b|लाख)", 1), lambda s: F.round(number(s) * 100000, 2))
-    plain = F.transform(found(r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), number)
+    thousand = F.transform(found(THOUSANDS, 1), lambda s: F.round(number(s) * 1000, 2))
+    lakh = F.transform(found(LAKHS, 1), lambda s: F.round(number(s) * 100000, 2))
+    plain = F.transform(found(AMOUNT, 0), number)
     return F.array_sort(F.array_distinct(F.concat(plain, thousand, lakh)))
 
 

@@ -48,7 +48,7 @@ def group_of(doc_id: Column) -> Column:
 
 
 SQL_GROUP = "'g' || lpad(CAST(doc_id // 4 AS VARCHAR), 9, '0')"
-SQL_NORM = r"trim(regexp_replace(regexp_replace(translate(lower(text), '०१२३४५६७८९', '0123456789'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+SQL_NORM = r"trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(text)), '०१२३४५६७८९', '0123456789'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def sql_uniform(seed: str, key: str) -> str:
