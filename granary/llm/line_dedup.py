@@ -26,7 +26,7 @@ from granary.operators.workspace import materialize, release
 #: Least edit similarity of linked lines.
 SIMILARITY = 0.8
 #: Bounds of a line's words from which its fingerprint has the next number of 64-bit words.
-WIDTHS = ((0, 2), (100, 4), (220, 8), (500, 16), (1050, 32), (2200, 64), (4400, 128), (8800, 256))
+WIDTHS = ((0, 3), (110, 6), (300, 12), (620, 24), (1250, 48), (2500, 96), (5000, 192))
 #: Share of the documents whose words show which are rare, at least so many, and the places (as a power of 2) of the table
 #: that tells. They order words: what they hold changes the number of candidates, never a result.
 SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
@@ -267,13 +267,14 @@ def close(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) ->
     return np.where(longer >= 0xFFFF, True, fits)
 
 
-def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, similarity: float, large: int, confirm: Callable) -> None:
+def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, home: np.ndarray, far: np.ndarray, similarity: float, large: int, confirm: Callable) -> None:
     """Pass pairs of rows that may be similar to ``confirm(i, j)``, which links those that are and says which they are.
-    Rows are sorted by group, then n; ``bits`` has a column a row. Pairs of rows that both do not ask are known to be
-    connected. In a group of ``large`` rows a first line is compared with all others; those that are linked to it need no
-    comparison among themselves, so many copies of one text cost a comparison each."""
+    Rows are sorted by group, then n; ``bits`` has a column a row. Rows that are not ``far`` are known to be connected; rows
+    that are not at ``home`` are copies of rows that are so elsewhere. A pair is looked at where one of its rows is at home
+    and the other is far. In a group of ``large`` rows a first line is compared with all others; those that are linked to
+    it are not far from each other, so many copies of one text cost a comparison each."""
     n = np.minimum(n, 0xFFFF).astype(np.int64)
-    asks = asks.copy()
+    far = far.copy()
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.r_[starts[1:], len(group)]
     last = np.where(n == 0xFFFF, 1 << 30, (n / similarity + 1e-6).astype(np.int64))
@@ -284,25 +285,27 @@ def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, s
         return near[confirm(np.full(len(near), i), near)] if len(near) else near
 
     for a, b in zip(starts[ends - starts > large], ends[ends - starts > large]):
-        if asks[a:b].all():
+        if (home[a:b] & far[a:b]).all():
             first = (a + b) // 2
-            asks[against(first, np.r_[a:first, first + 1 : b])] = False
-            asks[first] = False
+            far[against(first, np.r_[a:first, first + 1 : b])] = False
+            far[first] = False
         low = np.searchsorted(n[a:b], np.ceil(n[a:b] * similarity - 1e-6)) + a
         high = np.searchsorted(n[a:b], last[a:b], "right") + a
-        for i in np.flatnonzero(asks[a:b]) + a:
-            # what is shorter and asks has met this row already
-            against(i, np.r_[low[i - a] + np.flatnonzero(~asks[low[i - a] : i]), i + 1 : high[i - a]])
+        for i in np.flatnonzero(far[a:b]) + a:
+            # what is shorter and far has met this row already
+            before, after = slice(low[i - a], i), slice(i + 1, high[i - a])
+            met = home[after] | far[after] if home[i] else home[after]
+            against(i, np.r_[before.start + np.flatnonzero(home[before] & ~far[before]), after.start + np.flatnonzero(met)])
     # how many of the next rows are of the same group and not too long; rows of groups that end early come first, so what
     # is left at each distance is one slice
     reach = np.minimum(np.searchsorted(group << 31 | n, group << 31 | last, "right") - np.arange(len(n)) - 1, np.repeat(np.where(ends - starts > large, 0, 1 << 30), ends - starts))
     most = np.repeat(np.maximum.reduceat(reach, starts), ends - starts)
     order = np.argsort(most, kind="stable")
     order = order[most[order] > 0]
-    n, asks, bits, reach, most = n[order].astype(np.int32), asks[order], bits[:, order], reach[order].astype(np.int32), most[order]
+    n, home, far, bits, reach, most = n[order].astype(np.int32), home[order], far[order], bits[:, order], reach[order].astype(np.int32), most[order]
     # bits apart must be this many at most, less what the shorter line lacks
     room = np.where(n == 0xFFFF, 1 << 29, 2 * _allowed(n, similarity) - n).astype(np.int32)
-    all_ask = asks.all()
+    plain = home.all() and far.all()
     start = k = 0
     while True:
         k += 1
@@ -315,8 +318,8 @@ def link(group: np.ndarray, n: np.ndarray, bits: np.ndarray, asks: np.ndarray, s
             for row in bits[1:]:
                 apart += np.bitwise_count(row[a:b] ^ row[a + k : b + k])
             fits = (apart <= room[a + k : b + k] + n[a:b]) & (reach[a:b] >= k)
-            if not all_ask:
-                fits &= asks[a:b] | asks[a + k : b + k]
+            if not plain:
+                fits &= (home[a:b] & far[a + k : b + k]) | (far[a:b] & home[a + k : b + k])
             near = np.flatnonzero(fits) + a
             if len(near):
                 confirm(order[near], order[near + k])
@@ -327,8 +330,8 @@ def _order(group: np.ndarray, n: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
-    """A forest of candidate links among the rows of a partition, as pairs of codes. A row is a key, a code, whether it
-    asks, and the fingerprint."""
+    """A forest of candidate links among the rows of a partition, as pairs of codes. A row is a key, in whose last bits
+    stands whether it is at home and far, a code, and the fingerprint."""
     edges, wider = [], None
     for w in range(len(WIDTHS) - 1, -1, -1):
         words = WIDTHS[w][1]
@@ -342,9 +345,9 @@ def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
         if len(rows) < 2:
             continue
         n = (rows[:, 1] & np.uint64(0xFFFF)).astype(np.int64)
-        order = _order(rows[:, 0] >> np.uint64(1), n, rows[:, 1])
+        order = _order(rows[:, 0] >> np.uint64(2), n, rows[:, 1])
         rows, n = rows[order], n[order]
-        key = rows[:, 0] >> np.uint64(1)
+        key = rows[:, 0] >> np.uint64(2)
         fresh = np.r_[True, (key[1:] != key[:-1]) | (rows[1:, 1] != rows[:-1, 1])]
         shared = np.bincount(np.cumsum(np.r_[True, key[1:] != key[:-1]])[fresh])
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
@@ -361,7 +364,7 @@ def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
             _unite(parent, root[1][i], root[1][j])  # noqa: B023
             return np.ones(len(i), bool)
 
-        link(group, n, np.ascontiguousarray(rows[:, 2:].T), (rows[:, 0] & np.uint64(1)).astype(bool), similarity, LARGE_KEY, confirm)
+        link(group, n, np.ascontiguousarray(rows[:, 2:].T), (rows[:, 0] & np.uint64(1)).astype(bool), (rows[:, 0] & np.uint64(2)).astype(bool), similarity, LARGE_KEY, confirm)
         while (parent[parent] != parent).any():
             parent = parent[parent]
         linked = np.flatnonzero(parent != np.arange(len(parent)))
@@ -377,7 +380,7 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
         import pyarrow as pa
 
         for keys, *_ in _keyed(_texts(batches), rarity.value, similarity):
-            met, n = np.unique(keys & ~np.uint64(1), return_counts=True)
+            met, n = np.unique(keys & ~np.uint64(3), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(met.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     counted = drawn.select("_text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -390,7 +393,7 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
         import pyarrow as pa
 
         for keys, codes, sizes, bits, w in _keyed(_texts(batches), rarity.value, similarity):
-            keys &= ~np.uint64(1)
+            keys &= ~np.uint64(3)
             at = np.flatnonzero(np.isin(keys, hot.value))
             # one line of each key and run will do
             at = at[np.unique(keys[at], return_index=True)[1]]
@@ -408,14 +411,14 @@ def _hot_keys(drawn: DataFrame, share: float, rarity, similarity: float) -> dict
 
 def _split_hot(keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, hot: dict, similarity: float) -> tuple[np.ndarray, ...]:
     """Rows with the rows of hot keys dealt to parts: those close to the key's line go to one part each, where they need
-    not be compared with each other; the others go to all parts and are compared with everything. Also links with the
-    lines of the keys."""
+    not be compared with each other; the others go to all parts, where they meet the rows that are at home there. Also
+    links with the lines of the keys."""
     listed = np.fromiter(hot, np.uint64, len(hot))
     at = np.flatnonzero(np.isin(keys, listed)) if hot else listed
     if not len(at):
-        return keys | np.uint64(1), codes, bits, np.empty((0, 2), np.uint64)
+        return keys | np.uint64(3), codes, bits, np.empty((0, 2), np.uint64)
     rest = np.setdiff1d(np.arange(len(keys)), at)
-    out_keys, rows, edges = [keys[rest] | np.uint64(1)], [rest], []
+    out_keys, rows, edges = [keys[rest] | np.uint64(3)], [rest], []
     for key in np.unique(keys[at]):
         parts, code, n, held = hot[int(key)]
         of = at[keys[at] == key]
@@ -428,11 +431,12 @@ def _split_hot(keys: np.ndarray, codes: np.ndarray, sizes: np.ndarray, bits: np.
         near = close(np.minimum(sizes[of], 0xFFFF), np.int64(min(n, 0xFFFF)), np.bitwise_count(mine ^ pivot).sum(1, dtype=np.int64), similarity)
         edges.append(np.stack([codes[of[near]], np.full(near.sum(), code, np.uint64)], 1))
         part = lambda k: (np.uint64(key) + (k + np.uint64(1)) * MIX) * MIX  # noqa: B023, E731
-        out_keys.append(part((codes[of[near]] >> np.uint64(16)) % np.uint64(parts)) & ~np.uint64(1))
+        own = (codes[of] >> np.uint64(16)) % np.uint64(parts)
+        out_keys.append(part(own[near]) & ~np.uint64(3) | np.uint64(1))
         rows.append(of[near])
-        far = of[~near]
-        out_keys.append(part(np.tile(np.arange(parts, dtype=np.uint64), len(far))) | np.uint64(1))
-        rows.append(np.repeat(far, parts))
+        every = np.tile(np.arange(parts, dtype=np.uint64), int((~near).sum()))
+        out_keys.append(part(every) & ~np.uint64(3) | np.uint64(2) | (every == np.repeat(own[~near], parts)).astype(np.uint64))
+        rows.append(np.repeat(of[~near], parts))
     rows = np.concatenate(rows)
     return np.concatenate(out_keys), codes[rows], bits[rows], np.concatenate(edges)
 
@@ -457,7 +461,7 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
             at, kind, blob = [], [], []
             for w, pieces in held.items():
                 rows = np.concatenate(pieces)
-                to = ((rows[:, 0] >> np.uint64(1)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint64)
+                to = ((rows[:, 0] >> np.uint64(2)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint64)
                 order = np.argsort(to, kind="stable")
                 rows, to = rows[order], to[order]
                 cut = np.searchsorted(to, np.arange(parts))
@@ -470,7 +474,7 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
 
         held, size = {}, 0
         for keys, codes, sizes, bits, w in _keyed(_texts(batches), rarity.value, similarity):
-            keys, codes, bits, edges = _split_hot(keys & ~np.uint64(1), codes, sizes, bits, hot.value, similarity)
+            keys, codes, bits, edges = _split_hot(keys & ~np.uint64(3), codes, sizes, bits, hot.value, similarity)
             held.setdefault(int(w), []).append(np.concatenate([keys[:, None], codes[:, None], bits], 1))
             if len(edges):
                 held.setdefault(-1, []).append(edges)
@@ -565,9 +569,9 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
 
 
 def _dealt(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """``(shard, line, code, words, asks, pivot, whole)``: the lines of each group together. A group over HOT_SHARD lines is
+    """``(shard, line, code, words, home, far, pivot, whole)``: the lines of each group together. A group over HOT_SHARD lines is
     dealt to parts: those similar to its first line (``pivot``) go to one part each, the others to all."""
-    cold = lines.select(F.col("root").alias("shard"), "line", "code", "words", F.lit(True).alias("asks"), F.lit(None).cast("binary").alias("pivot"), F.lit(True).alias("whole"))
+    cold = lines.select(F.col("root").alias("shard"), "line", "code", "words", F.lit(True).alias("home"), F.lit(True).alias("far"), F.lit(None).cast("binary").alias("pivot"), F.lit(True).alias("whole"))
     big = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SHARD)
     big = materialize(big.select("root", F.ceil(F.col("n") / HOT_SHARD).cast("int").alias("parts")), "hot")
     if not (n := big.count()):
@@ -584,11 +588,12 @@ def _dealt(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
             out = [[] for _ in schema.names]
             for x in batch.to_pylist():
                 near = x["line"] == x["pivot"] or edit_similarity(x["words"].split(b" "), x["first"].split(b" ")) >= similarity
-                for part in [x["code"] % x["parts"]] if near else range(x["parts"]):
+                own = (x["code"] >> 16) % x["parts"]
+                for part in [own] if near else range(x["parts"]):
                     shard = xxhash.xxh64_intdigest(f"{x['root']} {part}") - (1 << 63)
-                    for held, value in zip(out, (shard, x["line"], x["code"], x["words"], not near, x["pivot"] if near else None, False)):
+                    for held, value in zip(out, (shard, x["line"], x["code"], x["words"], part == own, not near, x["pivot"] if near else None, False)):
                         held.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.bool_()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary(), pa.bool_()))], names=schema.names)
 
     of_big = salted_join(lines, first, "root", "line")
     apart = cold.join(small.select(F.col("root").alias("shard")), "shard", "left_anti")
@@ -657,7 +662,7 @@ def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFra
                     parent[max(a, b)] = min(a, b)
             return alike
 
-        link(group, np.minimum(sizes, 0xFFFF), np.ascontiguousarray(np.concatenate(bits, 1)), table["asks"].to_numpy(zero_copy_only=False), similarity, LARGE, confirm)
+        link(group, np.minimum(sizes, 0xFFFF), np.ascontiguousarray(np.concatenate(bits, 1)), *(table[c].to_numpy(zero_copy_only=False) for c in ("home", "far")), similarity, LARGE, confirm)
         root = np.array([top(x) for x in range(len(text))])
         at = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         whole, pivot = table["whole"].to_pylist(), table["pivot"].to_pylist()
