@@ -281,25 +281,33 @@ def export_requests(spark, d):
 TYPED = [("मेरो खाता छैन ।", "mero khata chhaina."), ("सामान अझै आएन", "saman ajhai aaena"), ("५,००० काटियो", "5,000 katiyo"), ("घर को समय?", "ghar ko samaya?"), ("plain text", "plain text")]
 
 
-def _sentence(key):
-    return F.element_at(F.array(*(F.lit(a) for a, _ in TYPED)), (key % len(TYPED) + 1).cast("int"))
+def _message(t):
+    """A sentence and the whole text."""
+    sentence = F.element_at(F.array(*(F.lit(a) for a, _ in TYPED)), (F.col("doc_id") % len(TYPED) + 1).cast("int"))
+    return t.withColumn("message", F.concat_ws(" ", sentence, "text"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(TYPED)) + " END AS roman FROM documents")
+#: The texts hold no Devanagari, so only the sentence changes; typing also tidies blanks.
+_TYPED = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(TYPED)) + " END || ' ' || text"
+SQL_ROMAN = rf"regexp_replace(regexp_replace(regexp_replace({_TYPED}, '\s+([.,!?])', '\1', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({SQL_ROMAN}) AS roman_md5, length({SQL_ROMAN}) AS n FROM documents")
 def transliterate(spark, d):
     from granary.functions.romanize import Tables
     from granary.functions.romanize import transliterate as typed
 
-    return docs(spark, d).select("doc_id", typed(Tables())(_sentence(F.col("doc_id"))).alias("roman"))
+    made = _message(docs(spark, d)).select("doc_id", typed(Tables())("message").alias("r"))
+    return made.select("doc_id", F.md5(F.col("r").cast("binary")).alias("roman_md5"), F.length("r").cast("long").alias("n"))
 
 
-@query(f"""SELECT doc_id, 'd' || doc_id || '-roman' AS record_id, CASE WHEN doc_id % 5 = 2 THEN 'rejected' ELSE 'accepted' END AS status FROM documents WHERE doc_id % 5 <> 4 AND {sql_uniform('7:roman', "'d' || doc_id")} < 0.3""")
+@query(f"""SELECT doc_id, 'd' || doc_id || '-roman' AS record_id, md5({SQL_ROMAN}) AS message_md5, CASE WHEN length({SQL_ROMAN}) > 700 THEN 'rejected' ELSE 'accepted' END AS status FROM documents WHERE doc_id % 5 <> 4 AND {sql_uniform('7:roman', "'d' || doc_id")} < 0.3""")
 def roman_variants(spark, d):
     from granary.functions.romanize import Tables
     from granary.operators.variants import derive_roman
 
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    script = X.detect_script(_sentence(F.col("doc_id")))
-    records = docs(spark, d).select("doc_id", name.alias("record_id"), name.alias("scenario_id"), _sentence(F.col("doc_id")).alias("message"), F.when(F.col("doc_id") % 5 < 4, "deva").otherwise(script).alias("script"), F.array(F.lit("plain")).alias("style_tags"))
-    out = derive_roman(records, Tables(), 0.3, "7", [("too_short", F.length("message") < 13)])
-    return out.select("doc_id", "record_id", "status")
+    script = F.when(F.col("doc_id") % 5 < 4, "deva").otherwise("roman")
+    records = _message(docs(spark, d)).select("doc_id", name.alias("record_id"), name.alias("scenario_id"), "message", script.alias("script"), F.array(F.lit("plain")).alias("style_tags"))
+    out = derive_roman(records, Tables(), 0.3, "7", [("too_long", F.length("message") > 700)])
+    return out.select("doc_id", "record_id", F.md5(F.col("message").cast("binary")).alias("message_md5"), "status")
