@@ -10,6 +10,8 @@ from granary.operators.workspace import materialize
 
 #: Ranges that the splitters cut for each shard, and sampled keys for each range.
 RANGES, SAMPLES = 6, 40
+#: Rows of a range above which all ranges are cut further, and the number of ranges that this leads to at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 100_000
 
 
 def _below(splitters: list[tuple[int, int]], hashed: Column, tie: Column) -> Column:
@@ -26,6 +28,21 @@ def _below(splitters: list[tuple[int, int]], hashed: Column, tie: Column) -> Col
     return tree(0, len(splitters))
 
 
+def _within(splitters: list[tuple[int, int]], parts: int) -> Column:
+    """Which of ``parts`` equal slices of its range (``_range``) a key is in: slices of the hash, or of the tie where a range
+    holds one hash. Keys in order have slices in order."""
+    low, high = (-(1 << 63), -(1 << 63)), ((1 << 63) - 1, (1 << 63) - 1)
+    ends = [low, *splitters, high]
+    end = lambda k, shift: F.get(F.array(*(F.lit(x[k]) for x in ends)), F.col("_range") + shift).cast("double")
+
+    def slice_of(column: str, k: int) -> Column:
+        a, b = end(k, 0), end(k, 1)
+        return F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col(column).cast("double") - a) / (b - a) * parts))).cast("int")
+
+    same = F.get(F.array(*(F.lit(x[0]) for x in ends)), F.col("_range")) == F.get(F.array(*(F.lit(x[0]) for x in ends)), F.col("_range") + 1)
+    return F.when(same, F.coalesce(F.when(end(1, 0) < end(1, 1), slice_of("_tie", 1)), F.lit(0))).otherwise(F.when(end(0, 0) < end(0, 1), slice_of("_h", 0)).otherwise(0))
+
+
 def shard_by_bytes(
     docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16
 ) -> DataFrame:
@@ -35,7 +52,8 @@ def shard_by_bytes(
     then by their id, so equal texts stay together unless a shard's end falls among them; a shard takes the rows whose
     middle byte falls in its equal part of all bytes, so two shards differ by two row sizes at most. ``slot`` counts a
     shard's rows from 0. Null ids are rows like others. Repeated rows (same id and text) are interchangeable. An empty
-    table gives an empty result. Other columns are not read. Only counts per range and the bounded sample reach
+    table gives an empty result. A very long text is one row: a shard's bytes miss their share by its size at most. Other
+    columns are not read. Only counts per range and the bounded sample reach
     the driver.
     """
     text = F.col(text_col)
@@ -49,7 +67,7 @@ def shard_by_bytes(
         ),
         "sizes",
     )
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges = shards * RANGES
     # a key is drawn with probability size * rate, by a hash of its own: the expected sample is bounded
     rate = ranges * SAMPLES / max(total, 1)
@@ -57,7 +75,10 @@ def shard_by_bytes(
     drawn = keyed.where(draw < F.col("size") * F.lit(rate)).select("_h", "_tie").limit(4 * ranges * SAMPLES)
     sample = sorted((r["_h"], r["_tie"]) for r in drawn.collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    parts = min(-(-rows // (RANGE_ROWS * ranges)), MOST_RANGES // ranges) or 1
     ranged = keyed.withColumn("_range", _below(cuts, F.col("_h"), F.col("_tie")))
+    if parts > 1:
+        ranged = ranged.withColumn("_range", F.col("_range") * parts + _within(cuts, parts))
     sums = ranged.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     offsets, bytes_before, rows_before = [], 0, 0
     for r in sorted(sums, key=lambda r: r["_range"]):
