@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as html_entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ BLOCKS = set(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split()
 )
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9]*)")
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers array<struct<name string, value string>>, payload binary"
@@ -94,10 +97,58 @@ def read_html(source: str) -> tuple[str, str, list[str]]:
     return " ".join(html_entities.unescape("".join(title)).split()), "\n".join(x for x in lines if x), links
 
 
+def _header(headers: list[dict], name: str) -> str:
+    return next((h["value"] or "" for h in headers if (h["name"] or "").lower() == name), "")
+
+
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked body; what does not follow the form is taken as it stands."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].partition(b";")[0].strip(), 16)
+        except ValueError:
+            return body if not out else b"".join(out)
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else body
+
+
+def entity(headers: list[dict], payload: bytes) -> bytes:
+    """A payload as the page's bytes: without transfer and content encodings. One that cannot be undone stays, and so does
+    a payload that was stored decoded under headers that say otherwise."""
+    if "chunked" in _header(headers, "transfer-encoding").lower():
+        payload = unchunked(payload)
+    for coding in reversed([c.strip() for c in _header(headers, "content-encoding").lower().split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = zlib.decompressobj(31).decompress(payload)
+            elif coding == "deflate":
+                payload = zlib.decompressobj(15 if payload[:1] == b"x" else -15).decompress(payload)
+        except zlib.error:
+            break
+    return payload
+
+
+def page_text(headers: list[dict], payload: bytes) -> str:
+    """A page decoded by the character set that its byte order mark, its header or its first bytes name; UTF-8 otherwise."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if payload.startswith(mark):
+            return payload.decode(name, "replace")
+    named = _CHARSET.search(_header(headers, "content-type").encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
+    try:
+        name = codecs.lookup(named[1].decode("ascii")).name if named else "utf-8"
+        return payload.decode({"iso8859-1": "cp1252"}.get(name, name), "replace")
+    except (LookupError, UnicodeDecodeError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
 def derive(record_id: str, uri: str, date: str, headers: list[dict], payload: bytes) -> list[tuple]:
     """The metadata and the conversion record of one response, as rows of RECORD. Their ids follow from the response's."""
     source = digest(payload)
-    title, text, links = read_html(payload.decode("utf-8", "replace"))
+    title, text, links = read_html(page_text(headers, entity(headers, payload)))
     envelope = {
         "headers": [[h["name"], h["value"]] for h in headers],
         "links": links,
@@ -140,8 +191,9 @@ def build_derivatives(responses: DataFrame, id_col: str | None = None) -> DataFr
     """Two rows of RECORD for each row of RESPONSE, after its ``id_col`` if one is named.
 
     Repeated responses give repeated records with equal ids. Null record ids, addresses and dates stay null, a null
-    payload is empty, null headers are none. An empty table gives an empty result; other columns are not read. A map
-    over rows.
+    payload is empty, null headers are none. Text and links come from the page without its transfer and content encodings,
+    in the character set it names; digests and lengths of the source are those of the payload as it is stored. An empty
+    table gives an empty result; other columns are not read. A very long page costs what its length does. A map over rows.
     """
     names = ["record_id", "target_uri", "warc_date", "http_headers", "payload"]
     ids = [id_col] if id_col else []
@@ -173,6 +225,8 @@ def serialise(record: dict) -> bytes:
         ("WARC-Type", record["warc_type"]),
         ("WARC-Record-ID", record["record_id"]),
         ("WARC-Refers-To", record.get("refers_to")),
+        ("WARC-Refers-To-Target-URI", record.get("target_uri") if record.get("refers_to") else None),
+        ("WARC-Refers-To-Date", record.get("warc_date") if record.get("refers_to") else None),
         ("WARC-Target-URI", record.get("target_uri")),
         ("WARC-Date", record.get("warc_date")),
         ("Content-Type", record["content_type"]),
@@ -184,27 +238,64 @@ def serialise(record: dict) -> bytes:
     return gzip.compress("\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + bytes(record["block"]) + b"\r\n\r\n", mtime=0)
 
 
+#: Bytes of a file that are decompressed at once.
+PIECE = 1 << 20
+
+
+def _plain(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in pieces, decompressed member by member."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + PIECE]) for k in range(0, len(view), PIECE))
+        return
+    member = zlib.decompressobj(31)
+    for k in range(0, len(view), PIECE):
+        rest = bytes(view[k : k + PIECE])
+        while rest:
+            yield member.decompress(rest)
+            rest = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record in a WARC file, compressed by members or plain."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """(headers with lower-case names, block) of each record in a WARC file, compressed by members or plain. One record at a
+    time is held beside the file."""
+    held, pieces = b"", _plain(data)
+    more = lambda: next(pieces, None)
+    while True:
+        while (start := held.find(b"WARC/")) < 0 or (end := held.find(b"\r\n\r\n", start)) < 0:
+            if (piece := more()) is None:
+                return
+            held = held[-4:] + piece if start < 0 and held else held + piece
+        lines = held[start:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        parts, have = [held[end + 4 :]], len(held) - end - 4
+        while have < size and (piece := more()) is not None:
+            parts.append(piece)
+            have += len(piece)
+        body = b"".join(parts)
+        yield head, body[:size]
+        held = body[size:]
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """RESPONSE rows of the WARC files at ``path``; records of other types are passed over."""
+    """RESPONSE rows of the WARC files at ``path`` (2 GB each at most, compressed); records of other types are passed over.
+    A file is a row of one task, decompressed and handed on in pieces."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         headers_type = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+        types = [pa.string(), pa.string(), pa.string(), headers_type, pa.binary()]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)]
+            return pa.RecordBatch.from_arrays(arrays, names=["record_id", "target_uri", "warc_date", "http_headers", "payload"])
+
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for content in batch.column(0):
                 for head, block in parse(content.as_py()):
                     if head.get("warc-type") == "response":
@@ -212,8 +303,10 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                         lines = [x.partition(":") for x in top.decode("latin-1").split("\r\n")[1:]]
                         headers = [{"name": k.strip(), "value": v.strip()} for k, _, v in lines]
                         rows.append((head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), headers, payload))
-            types = [pa.string(), pa.string(), pa.string(), headers_type, pa.binary()]
-            arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["record_id", "target_uri", "warc_date", "http_headers", "payload"])
+                        size += len(payload)
+                        if size > 16 * PIECE:
+                            yield made(rows)
+                            rows, size = [], 0
+            yield made(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
