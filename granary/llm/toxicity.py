@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from granary.operators.workspace import materialize
 
 #: Labelled rows to learn from at most, those with the least hash of their id; lexicon entries at most.
-FIT_ROWS, ENTRIES = 16_000, 6_000
+FIT_ROWS = 16_000
+#: Labelled rows that a unit of the lexicon must stand in.
+LEAST = 3
 #: Parts of the labelled rows that learn from each other.
 FOLDS = 3
 #: Standard deviations by which a lexicon entry must exceed chance: entries are many, so chance offers some far-out ones.
@@ -203,14 +205,14 @@ def _weights(units: list[dict], pos: float, neg: float, without: int | None = No
         p, q = (sum(n for k, n in enumerate(u[side]) if k != without) for side in ("p", "q"))
         expected = (p + q) * pos / (pos + neg)
         odds = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (neg + 1))
-        if p >= 3 and (p - expected) / np.sqrt(expected + 0.25) >= SURPLUS and odds >= 1.5:
+        if p >= LEAST and (p - expected) / np.sqrt(expected + 0.25) >= SURPLUS and odds >= 1.5:
             out[u["unit"]] = min(float(odds), 6.0)
     return out
 
 
 def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
     """A lexicon without each fold of ``rows`` (_fold, _y, _text), then one of all. Units are counted on the executors;
-    the ENTRIES that go with the label most reach the driver."""
+    those that go with the label beyond chance reach the driver: as many as so many rows have at most."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,7 +220,7 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
         for batch in batches:
             unit, row = [], []
             for i, value in enumerate(batch.column(2)):
-                found = {u for w in map(_clean, set(value.as_py().split())) if w and len(w) <= 64 for u in _units(w)}
+                found = {u for w in map(_clean, set(value.as_py().split())) if w for u in _units(w)}
                 unit += found
                 row += [i] * len(found)
             at = pa.array(row, pa.int64())
@@ -240,7 +242,7 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
     counts = units.groupBy("unit").agg(sides["p"].alias("p"), sides["q"].alias("q"))
     expected = (total("p") + total("q")) * F.lit(sum(pos) / (sum(pos) + sum(neg)))
     surplus = (total("p") - expected) / F.sqrt(expected + 0.25)
-    top = counts.withColumn("surplus", surplus).where(F.col("surplus") >= SURPLUS).orderBy(F.desc("surplus"), "unit").limit(ENTRIES)
+    top = counts.withColumn("surplus", surplus).where((F.col("surplus") >= SURPLUS) & (total("p") >= LEAST))
     found = [r.asDict() for r in top.collect()]
     return [_weights(found, sum(pos) - p, sum(neg) - q, k) for k, (p, q) in enumerate(zip(pos, neg))] + [
         _weights(found, sum(pos), sum(neg))
@@ -273,11 +275,11 @@ def fit(
         tokens = [_Tokens(x) for x in lexicons[:FOLDS]]
         for batch in batches:
             x = [features(t.as_py(), tokens[k]) for k, t in zip(batch.column(0).to_pylist(), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["_fold", "_y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64())), batch.column(3)], names=["_fold", "_y", "x", "_h"])
 
-    # ids may repeat in the documents: the bound holds for rows too
-    few = learned.orderBy(F.xxhash64("_id", "_text")).limit(rows).select("_fold", "_y", "_text")
-    table = few.mapInArrow(run, "_fold int, _y int, x array<double>").toArrow()
+    # ids may repeat in the documents: the bound holds for rows too, of which only the features are brought together
+    drawn = learned.select("_fold", "_y", "_text", F.xxhash64("_id", "_text").alias("_h"))
+    table = drawn.mapInArrow(run, "_fold int, _y int, x array<double>, _h long").orderBy("_h").limit(rows).drop("_h").toArrow()
     y, folds = (table[c].to_numpy().astype(np.float64) for c in ("_y", "_fold"))
     x = np.array(table["x"].to_pylist(), np.float64).reshape(-1, FEATURES)
     if len(y) < 2:
