@@ -48,9 +48,11 @@ FILTER_BITS = 1 << 26
 #: Bytes of keys for each word of the corpus, about; a partition of keys has some 8 MB.
 KEY_BYTES = 9
 #: Bytes of keys that a task packs at once, and rows of them that it makes at once (in 64-bit words of fingerprints).
-PACKED, MADE = 1 << 23, 1 << 20
+PACKED, MADE = 1 << 24, 1 << 19
 #: Bytes of lines whose words are hashed at once.
 RUN = 1 << 18
+#: Documents whose lines are made at once.
+SLICE = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
@@ -344,18 +346,19 @@ def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
         wider = np.frombuffer(blobs.get(w, b""), np.uint64).reshape(-1, 2 + words)
         if len(rows) < 2:
             continue
-        n = (rows[:, 1] & np.uint64(0xFFFF)).astype(np.int64)
-        order = _order(rows[:, 0] >> np.uint64(2), n, rows[:, 1])
-        rows, n = rows[order], n[order]
+        # most keys are those of one line: only the others' rows are sorted and copied
         key = rows[:, 0] >> np.uint64(2)
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (rows[1:, 1] != rows[:-1, 1])]
-        shared = np.bincount(np.cumsum(np.r_[True, key[1:] != key[:-1]])[fresh])
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
-        use = fresh & (shared[group] > 1)
-        rows, n, group = rows[use], n[use], group[use]
+        by_key = np.argsort(key)
+        sorted_key = key[by_key]
+        twin = sorted_key[1:] == sorted_key[:-1]
+        rows = rows[by_key[np.r_[twin, False] | np.r_[False, twin]]]
         if not len(rows):
             continue
-        group = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+        n = (rows[:, 1] & np.uint64(0xFFFF)).astype(np.int64)
+        rows = rows[order := _order(rows[:, 0] >> np.uint64(2), n, rows[:, 1])]
+        n, key = n[order], rows[:, 0] >> np.uint64(2)
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (rows[1:, 1] != rows[:-1, 1])]
+        rows, n, group = rows[fresh], n[fresh], np.cumsum(np.r_[False, key[1:] != key[:-1]])[fresh]
         code = rows[:, 1]
         root = np.unique(code, return_inverse=True)
         parent = np.arange(len(root[0]))
@@ -475,10 +478,11 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
         held, size = {}, 0
         for keys, codes, sizes, bits, w in _keyed(_texts(batches), rarity.value, similarity):
             keys, codes, bits, edges = _split_hot(keys & ~np.uint64(3), codes, sizes, bits, hot.value, similarity)
-            held.setdefault(int(w), []).append(np.concatenate([keys[:, None], codes[:, None], bits], 1))
+            made = np.concatenate([keys[:, None], codes[:, None], bits], 1)
+            held.setdefault(int(w), []).append(made)
             if len(edges):
                 held.setdefault(-1, []).append(edges)
-            size += sum(x[-1].nbytes for x in held.values())
+            size += made.nbytes + edges.nbytes
             if size > PACKED:
                 yield packed(held)
                 held, size = {}, 0
@@ -526,7 +530,7 @@ def _filter(codes: DataFrame) -> np.ndarray:
 
 def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataFrame:
     """``(_id, _hash, line_no, line, code, words)`` of each line with words; ``line`` is a 128-bit hash of its words. The
-    words come along where the line is in one of the groups, once a batch."""
+    words come along where the line is in one of the groups, once a task."""
     schema = T.StructType(
         [
             id_field,
@@ -542,8 +546,8 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = bits.value
-        for batch in batches:
+        known, sent = bits.value, set()
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             row, number, text, line, code = [], [], [], [], []
             for i, t in enumerate(batch.column(2).cast("large_binary")):
                 for k, x in enumerate(canonical(t.as_py())):
@@ -555,10 +559,11 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
                         code.append(_code(digest, x.count(b" ") + 1))
             codes = np.array(code, np.uint64)
             at = _filter_places(codes)
-            wanted = ((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)
-            once = np.zeros(len(codes), bool)
-            once[np.unique(codes, return_index=True)[1]] = True
-            words = [x if w else None for x, w in zip(text, (wanted & once).tolist())]
+            words = [None] * len(text)
+            for k in np.flatnonzero(((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)).tolist():
+                if code[k] not in sent:
+                    sent.add(code[k])
+                    words[k] = text[k]
             rows = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(codes.view(np.int64)), pa.array(words, pa.binary())],
