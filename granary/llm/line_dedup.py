@@ -7,6 +7,7 @@ that tell nothing apart. The fingerprint here differs in no more bits than the w
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -48,7 +49,7 @@ FILTER_BITS = 1 << 26
 #: Bytes of keys for each word of the corpus, about; a partition of keys has some 8 MB.
 KEY_BYTES = 9
 #: Bytes of keys that a task packs at once, and rows of them that it makes at once (in 64-bit words of fingerprints).
-PACKED, MADE = 1 << 24, 1 << 19
+PACKED, MADE = 1 << 23, 1 << 18
 #: Bytes of lines whose words are hashed at once.
 RUN = 1 << 18
 #: Documents whose lines are made at once.
@@ -245,6 +246,17 @@ def _rarity(sample: DataFrame, share: float, similarity: float) -> tuple[np.ndar
     return out, int(level(np.float64(max(HOT_WORD * share, 4 * words / (1 << COUNT_BITS), 1)))) + 1, words / share
 
 
+def _trim() -> None:
+    """Give memory that is free back to the system: the worker lives on beside the executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def _keyed(texts: Iterator[str], rarity: tuple, similarity: float) -> Iterator[tuple]:
     """(keys, codes, sizes, bits, width) of runs of lines, a row a key, for each width of fingerprint."""
     for codes, lines in runs_of_lines(texts, similarity):
@@ -462,8 +474,8 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
 
         def packed(held: dict) -> pa.RecordBatch:
             at, kind, blob = [], [], []
-            for w, pieces in held.items():
-                rows = np.concatenate(pieces)
+            for w in list(held):
+                rows = np.concatenate(held.pop(w))
                 to = ((rows[:, 0] >> np.uint64(2)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint64)
                 order = np.argsort(to, kind="stable")
                 rows, to = rows[order], to[order]
@@ -488,6 +500,7 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
                 held, size = {}, 0
         if held:
             yield packed(held)
+        _trim()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -497,9 +510,11 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
             for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 held.setdefault(kind, []).append(blob)
         found = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in held.pop(-1, [])]
-        found.append(_key_links({w: b"".join(x) for w, x in held.items()}, similarity))
+        found.append(_key_links({w: b"".join(held.pop(w)) for w in list(held)}, similarity))
+        del held
         edges = np.concatenate(found).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+        _trim()
 
     dealt = docs.select("_text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(parts, F.col("part"))
     return materialize(connected_components(dealt.mapInArrow(run, "a long, b long")), "candidates")
@@ -569,6 +584,7 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(codes.view(np.int64)), pa.array(words, pa.binary())],
                 names=schema.names,
             )
+        _trim()
 
     return docs.mapInArrow(run, schema)
 
