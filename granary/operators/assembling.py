@@ -152,13 +152,17 @@ def excerpts(hits: DataFrame, question: str = "question") -> DataFrame:
     return grouped.select("question_id", F.concat(F.lit("<excerpts>\n"), body, F.lit("\n</excerpts>\n\n<question>\n"), F.col(question), F.lit("\n</question>")).alias("prompt"))
 
 
-def rendered(scenario: Column, facts: Column, seed: str, key: Column) -> Column:
-    """A message without a model: one of a few openings, what the scenario is about and the visible facts. The same key
-    gives the same message."""
-    openings = ["नमस्ते,", "हजुर,", "मलाई सहयोग चाहियो:"]
-    opening = F.get(F.array(*map(F.lit, openings)), F.floor(uniform(seed, key) * len(openings)).cast("int"))
-    told = F.array_join(F.transform(F.map_entries(facts), lambda x: F.concat(x["key"], F.lit(" "), x["value"])), ", ")
-    return F.concat_ws(" ", opening, scenario, F.when(told != "", told), F.lit("मेरो समस्या छ"))
+#: What messages without a model are made of.
+OPENINGS = ["नमस्ते,", "हजुर,", "मलाई सहयोग चाहियो:"]
+WORDS = "पसल घर बजार बाटो पानी कलम किताब खबर गाडी चिया छाता जुत्ता झोला टोपी ढोका तरकारी दराज धारा नदी पहाड फूल बत्ती भान्सा माटो यात्रा रूख लुगा वन शहर हात".split()
+
+
+def rendered(facts: Column, seed: str, key: Column) -> Column:
+    """A message without a model, in Devanagari: an opening, a few words, what the facts say in numbers, and a closing
+    sentence. The same key gives the same message, other keys give others."""
+    draw = lambda what, values: F.get(F.array(*map(F.lit, values)), F.floor(uniform(f"{seed}:{what}", key) * len(values)).cast("int"))
+    told = F.array_join(F.filter(F.map_values(facts), lambda v: v.rlike("^[0-9]+$")), ", ")
+    return F.concat_ws(" ", draw("opening", OPENINGS), *(draw(f"word{i}", WORDS) for i in range(8)), F.when(told != "", F.concat(F.lit("रु "), told)), F.lit("मेरो काम भएको छैन।"))
 
 
 def option_text(name: Column, description: Column) -> Column:

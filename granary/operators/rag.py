@@ -72,7 +72,7 @@ def same_dimension(stored: DataFrame, embedder: Embedder) -> None:
 # --- evaluation
 
 
-def sound_questions(rows: DataFrame, scripts: tuple[str, ...] = ("en", "deva", "roman")) -> Column:
+def sound_questions(scripts: tuple[str, ...] = ("en", "deva", "roman")) -> Column:
     """Whether an evaluation row has gold documents or must be refused, not both, and a known script."""
     return (F.col("must_refuse") != (F.size("gold_doc_ids") > 0)) & F.col("script").isin(*scripts)
 

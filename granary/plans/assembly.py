@@ -205,7 +205,7 @@ def retrieval_by_script(spark, d):
 @query(f"WITH {SMALL} SELECT question_id, CASE WHEN len(gold) > 0 THEN regexp_replace(gold[1], '-[^-]*$', '') ELSE question_id END AS unit, (refuse <> (len(gold) > 0)) AS sound FROM qs")
 def evaluation_units(spark, d):
     _, _, asked = _store(spark, d)
-    return asked.select("question_id", R.unit(F.col("gold_doc_ids"), F.col("question_id")).alias("unit"), R.sound_questions(asked).alias("sound"))
+    return asked.select("question_id", R.unit(F.col("gold_doc_ids"), F.col("question_id")).alias("unit"), R.sound_questions().alias("sound"))
 
 
 @query(f"""WITH {SMALL}, e AS (SELECT question_id, question, string_agg('<excerpt id="' || chunk_id || '">' || chr(10) || doc_id || chr(10) || chr(10) || text || chr(10) || '</excerpt>', chr(10) ORDER BY rank) AS b FROM ht JOIN qs USING (question_id) GROUP BY 1, 2)
