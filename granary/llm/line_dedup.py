@@ -35,6 +35,9 @@ SAMPLE_SHARE, SAMPLE_LEAST, COUNT_BITS = 1 / 256, 16_384, 22
 HOT_LEAST = 1024
 #: Lines that may hold a word before it stands for candidates only together with a second one.
 HOT_WORD = 4096
+#: Words of the longer line of a pair from which single words stand for candidates all the same: such lines are few, and
+#: pairs of their words would be many.
+FEW_LINES = 300
 #: Rows of a key, or lines of a candidate group, above which they are dealt to several tasks; how many keys are looked up
 #: for that (their rows stay together beyond it).
 HOT_SHARD, HOT_KEYS = 4096, 100_000
@@ -153,7 +156,8 @@ def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, hot: int
     order everywhere: by rarity, hash, occurrence. Lines of which the longer has n words and that are d edits apart share
     n - d tokens; each misses d at most, so the first common one is among the first d + 1 of each, the second among the
     first d + 2. Where the first is in very many lines (rarity of ``hot`` or more), so is the second, and both together
-    are the key."""
+    are the key. Pairs of lines whose longer one has FEW_LINES words meet by single words, kept apart from those of
+    shorter lines."""
     line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     order = rarity[hashes >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(37) | hashes & np.uint64((1 << 37) - 1)
     ranked = np.sort(line << np.uint64(45) | order)
@@ -169,10 +173,12 @@ def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, hot: int
     common = (order >> np.uint64(37)).astype(np.int64) >= hot
     first = rank < need
     alone = first & ~common
-    lines, keys = line[alone], key[alone]
+    single = first & common & (sizes >= similarity * FEW_LINES - 1e-6)[line]
+    lines, keys = np.r_[line[alone], line[single]], np.r_[key[alone], (key[single] ^ MIX) * MIX]
     if (first & common).any():
         paired = np.zeros(len(sizes), bool)
         paired[line[first & common]] = True
+        paired &= sizes < FEW_LINES
         both = common & paired[line]
         line, key = line[both], key[both]
         n = np.bincount(line, minlength=len(sizes))[line]

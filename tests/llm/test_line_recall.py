@@ -14,6 +14,7 @@ def test_every_similar_line_is_linked(spark, monkeypatch, shard, word, large):
     monkeypatch.setattr(line_dedup, "LARGE", large)
     monkeypatch.setattr(line_dedup, "LARGE_KEY", large)
     monkeypatch.setattr(line_dedup, "LONG", 100)
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 110)
     draw = random.Random(11)
     word = lambda: f"w{min(int(draw.paretovariate(0.4)), 4000)}"
     lines = []
