@@ -20,6 +20,18 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + rank - 1)).drop("_part", "_before")
 
 
+def running(df: DataFrame, order: list[Column], **values: str) -> DataFrame:
+    """Add the running sum of each value (a column's name) up to and with each row, in the order given, however many rows
+    are equal in part of it: rows are range-partitioned and sorted, each partition's sums give the next one's start."""
+    placed = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in values.items()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in values))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.join(F.broadcast(starts), "_part")
+    return met.select(*df.columns, *((F.col(f"_{n}") + F.sum(c).over(within)).alias(n) for n, c in values.items()))
+
+
 def candidates(names: list[str], fallback: str, label: Column, key: Column, seed: str, train: bool, p_drop: float = 0.15) -> Column:
     """The categories a request offers. For evaluation all, in their order. For training shuffled, and with chance
     ``p_drop`` without one to three that are neither the label nor the fallback; never for rows without a label, whose

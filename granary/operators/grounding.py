@@ -29,9 +29,11 @@ def verbatim(quotes: DataFrame, quote_id: str, texts: DataFrame, text_id: str, t
     inner = F.slice(F.split("qt", " "), F.lit(2), F.greatest(F.size(F.split("qt", " ")) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     keyed = q.withColumn("w", longest)
-    words = t.select("tid", "tt", F.explode(F.array_distinct(F.split("tt", " "))).alias("w"))
-    long = words.join(keyed.where("w IS NOT NULL"), "w").where(F.contains("tt", "qt")).select("qid", "tid")
+    # only ids and words are shuffled; texts are fetched for the pairs that are left
+    words = t.select("tid", F.explode(F.array_distinct(F.split("tt", " "))).alias("w"))
+    met = words.join(keyed.where("w IS NOT NULL").select("qid", "w"), "w").select("qid", "tid")
     brief = keyed.where("w IS NULL").withColumn("w", F.substr("qt", F.lit(1), F.lit(SHORT)))
     grams = F.flatten(F.array(*(_grams(F.col("tt"), n) for n in range(1, SHORT + 1))))
-    short = t.select("tid", "tt", F.explode(grams).alias("w")).join(brief, "w").where(F.contains("tt", "qt")).select("qid", "tid")
-    return long.union(short).distinct().select(F.col("qid").alias(quote_id), F.col("tid").alias(text_id))
+    short = t.select("tid", F.explode(grams).alias("w")).join(brief.select("qid", "w"), "w").select("qid", "tid")
+    pairs = met.union(short).distinct().join(q, "qid").join(t, "tid").where(F.contains("tt", "qt"))
+    return pairs.select("qid", "tid").distinct().select(F.col("qid").alias(quote_id), F.col("tid").alias(text_id))

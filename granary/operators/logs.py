@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.joins import counted_join
+
 
 def trailing(df: DataFrame, now: str, hours: int, ts: str) -> DataFrame:
     """Rows of the last ``hours`` (1 to 720) before ``now``; the bound reaches the scan."""
@@ -28,12 +30,15 @@ def by_intent(df: DataFrame, now: str, hours: int, ts: str, channel: str, intent
 
 def ingest(df: DataFrame, key: str, body: Column, order: list[str]) -> DataFrame:
     """Add ``outcome``: stored for the first row of a key and for rows without one, replay for the same body again,
-    conflict for another. The first row is found by a combined minimum and joined back, so a hot key is no single task."""
+    conflict for another. The first row is found by a combined minimum and joined to a hot key's rows where they are; rows
+    without a key are not joined at all."""
     rows = df.withColumn("_body", body)
-    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, "_body")).alias("_first"))
-    joined = rows.join(first, key, "left")
+    keyed = rows.where(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(F.min(F.struct(*order, "_body")).alias("_first"), F.count("*").alias("_n"))
+    joined = counted_join(keyed, first, key, "_n", keyed.count())
+    free = rows.where(F.col(key).isNull()).withColumn("outcome", F.lit("stored")).drop("_body")
     same = F.lit(True)
     for c in order:
         same = same & (F.col(c) == F.col(f"_first.{c}"))
-    outcome = F.when(F.col(key).isNull() | same, "stored").when(F.col("_body") == F.col("_first._body"), "replay").otherwise("conflict")
-    return joined.withColumn("outcome", outcome).drop("_body", "_first")
+    outcome = F.when(same, "stored").when(F.col("_body") == F.col("_first._body"), "replay").otherwise("conflict")
+    return joined.withColumn("outcome", outcome).drop("_body", "_first").unionByName(free)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.workspace import materialize
+from granary.operators.exporting import running
 
 BINS, TINY = 15, 1e-12
 
@@ -54,17 +54,10 @@ def ece(df: DataFrame, conf: str = "conf", correct: str = "correct") -> DataFram
 
 
 def coverage_at_error(df: DataFrame, limit: float, order: str, conf: str = "conf", correct: str = "correct") -> DataFrame:
-    """(coverage, threshold): the longest prefix by falling confidence whose error rate is within ``limit``.
-
-    Prefix sums run over distinct confidences first, then within each one by ``order``, so rows never meet in one task.
-    """
-    rows = materialize(df.select(conf, order, (~F.col(correct)).cast("long").alias("w")), "ranks")
-    groups = rows.groupBy(conf).agg(F.count("*").alias("n"), F.sum("w").alias("w"))
-    upto = Window.orderBy(F.desc(conf)).rowsBetween(Window.unboundedPreceding, -1)
-    before = groups.select(conf, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(upto), F.lit(0)).alias("w0"))
-    within = Window.partitionBy(conf).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.select(conf, F.count("*").over(within).alias("k"), F.sum("w").over(within).alias("w")).join(before, conf)
-    k, errors = F.col("n0") + F.col("k"), F.col("w0") + F.col("w")
-    met = errors / k <= limit
-    best = ranked.agg(F.count("*").alias("n"), F.max(F.when(met, k)).alias("k"), F.max_by(conf, F.when(met, k)).alias("threshold"))
+    """(coverage, threshold): the longest prefix by falling confidence, then ``order``, whose error rate is within ``limit``.
+    The rows are ranked over ranges of both, so the commonest confidence is no single task."""
+    rows = df.select(F.col(conf).alias("c"), F.col(order).alias("o"), (~F.col(correct)).cast("long").alias("w"), F.lit(1).alias("one"))
+    ranked = running(rows, [F.desc("c"), F.asc("o")], k="one", errors="w")
+    met = F.col("errors") / F.col("k") <= limit
+    best = ranked.agg(F.count("*").alias("n"), F.max(F.when(met, F.col("k"))).alias("k"), F.max_by("c", F.when(met, F.col("k"))).alias("threshold"))
     return best.select(F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("coverage"), "threshold")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows that are broadcast to the corpus; more are joined by a shuffle on the filter column.
+from granary.operators.exporting import running
+
+#: Query rows that are broadcast to the corpus at once, about; more are taken in parts, each over the whole corpus.
 QUERIES = 20_000
 
 
@@ -20,17 +22,20 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, domain: str, query_id:
     Spark's window group limit, so the exchange carries k rows per query and task.
     """
     queries = queries.select(query_id, domain, F.col("embedding").alias("_q"))
-    if queries.count() <= QUERIES:
-        queries = F.broadcast(queries)
-    scored = corpus.select(item_id, domain, "embedding").join(queries, domain).select(query_id, item_id, dot(F.col("_q"), F.col("embedding")).alias("score"))
+    parts = -(-queries.count() // QUERIES) or 1
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = None
+    for part in range(parts):
+        some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
+        scored = corpus.select(item_id, domain, "embedding").join(F.broadcast(some), domain).select(query_id, item_id, dot(F.col("_q"), F.col("embedding")).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row (auc): the chance that a positive outscores a negative, ties a half; from counts of distinct scores."""
     counts = df.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("p", "q", F.coalesce(F.sum("q").over(below), F.lit(0)).alias("under"))
+    ranked = running(counts, [F.asc(score)], upto="q").select("p", "q", (F.col("upto") - F.col("q")).alias("under"))
     wins = F.sum(F.col("p") * (F.col("under") + F.col("q") / 2))
     return ranked.agg((wins / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
