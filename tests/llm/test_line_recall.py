@@ -55,3 +55,32 @@ def test_a_thousand_near_copies_and_a_hot_line(spark, monkeypatch):
         rows.append((i, " ".join(w) + "\nthis very line is in all of the documents"))
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("row.doc_id", "n_removed")
     assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: 2 * (i > 0) for i in range(1000)}
+
+
+def test_recall_on_real_lines(spark):
+    """As many lines go as brute force over all pairs of the given documents says; fingerprints only skip pairs that cannot be
+    similar."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    every = [x for (t,) in docs.select("text").collect() for x in line_dedup.canonical(t or "") if x]
+    lines = sorted(set(every))
+    words, sizes = [x.split(b" ") for x in lines], np.array([x.count(b" ") + 1 for x in lines])
+    root = list(range(len(lines)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in range(len(lines)):
+        for j in np.flatnonzero((np.minimum(sizes[i], sizes) >= 0.8 * np.maximum(sizes[i], sizes) - 1e-6) & (np.arange(len(lines)) > i)).tolist():
+            common = len(set(words[i]) & set(words[j]))
+            if common >= 1 and line_dedup.edit_similarity(words[i], words[j]) >= 0.8:
+                pairs += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    gone = len(every) - len({top(i) for i in range(len(lines))})
+    got = line_dedup.dedup_lines(docs).selectExpr("sum(n_removed)").first()[0]
+    print(f"{pairs} similar pairs, {gone} lines should go, {got} go")
+    assert pairs and got == gone
