@@ -8,7 +8,6 @@ that tell nothing apart. The fingerprint here differs in no more bits than the w
 from __future__ import annotations
 
 import ctypes
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -60,9 +59,7 @@ SLICE = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
-_BLANKED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
-_PLAIN = bytes(range(256)).lower().translate(_BLANKED)
-_BEYOND = re.compile(r"[^\w\x00-\x7F]+")
+_PLAIN = bytes(range(256)).lower().translate(bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION)))
 _BYTES = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64)
 _BYTES[[10, 32]] = 0
 
@@ -74,22 +71,41 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (base, pow(base, -1, 1 << 64)))
 
 
-def _blank(run: re.Match) -> str:
-    """Blanks for punctuation, symbols and white space beyond ASCII; marks belong to the letters they follow."""
-    return "".join(c if unicodedata.category(c)[0] == "M" else " " for c in run[0])
+@cache
+def _is_blank(c: str) -> bool:
+    """Whether a character beyond ASCII is punctuation, a symbol or white space; marks belong to the letters they follow."""
+    return not c.isalnum() and unicodedata.category(c)[0] != "M"
+
+
+def canonical_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(lines, words of each line, lines of each text): the words of each line, one blank between them, in lower case and
+    without punctuation, ASCII or other: what equality and similarity are about."""
+    raw = [x if x.isascii() else x.decode("utf-8", "replace").lower().encode("utf-8", "replace") for x in texts]
+    of_text = np.array([x.count(b"\n") + 1 for x in raw], np.int64)
+    run = b"\n".join(raw) + b"\n"
+    if not run.isascii():
+        signs = np.frombuffer(run, np.uint8)
+        blanks = sorted(filter(_is_blank, set(signs[signs > 127].tobytes().decode("utf-8"))))
+        if len(blanks) > 32:
+            run = run.decode("utf-8").translate(dict.fromkeys(map(ord, blanks), " ")).encode("utf-8")
+        else:
+            for c in blanks:
+                run = run.replace(c.encode("utf-8"), b" ")
+    signs = np.frombuffer(run.translate(_PLAIN), np.uint8)
+    gap = (signs == 32) | (signs == 10)
+    # blanks before a blank or an end go, then those at the start of a line
+    signs = signs[~((signs == 32) & np.r_[gap[1:], False])]
+    leading = (signs == 32) & np.r_[True, signs[:-1] == 10]
+    if leading.any():
+        signs = signs[~leading]
+    ends = np.flatnonzero(signs == 10)
+    sizes = np.diff(np.searchsorted(np.flatnonzero(signs == 32), ends), prepend=0) + (np.diff(ends, prepend=-1) > 1)
+    return signs.tobytes().split(b"\n")[:-1], sizes, of_text
 
 
 def canonical(text: str | bytes) -> list[bytes]:
-    """The words of each line of a text, one blank between them, in lower case and without punctuation, ASCII or other:
-    what equality and similarity are about."""
-    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
-    if raw.isascii():
-        raw = raw.translate(_PLAIN)
-    else:
-        raw = _BEYOND.sub(_blank, raw.decode("utf-8", "replace").lower()).encode("utf-8", "replace").translate(_BLANKED)
-    while b"  " in raw:
-        raw = raw.replace(b"  ", b" ")
-    return [x.strip(b" ") for x in raw.split(b"\n")]
+    """The canonical lines of a text."""
+    return canonical_lines([text if isinstance(text, bytes) else text.encode("utf-8", "replace")])[0]
 
 
 def normalised(text: str) -> list[list[bytes]]:
@@ -127,9 +143,9 @@ def edit_similarity(a: list[bytes], b: list[bytes]) -> float:
     return 1 - distance / longest
 
 
-def _code(digest: bytes, n: int) -> int:
-    """48 bits of a line's digest above its number of words, 65,535 at most."""
-    return int.from_bytes(digest[:6], "little") << 16 | min(n, 0xFFFF)
+def _codes(digests: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """48 bits of each line's digest above its number of words, 65,535 at most."""
+    return np.frombuffer(b"".join(digests), "<u8")[::2] << np.uint64(16) | np.minimum(sizes, 0xFFFF).astype(np.uint64)
 
 
 def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,27 +165,34 @@ def _allowed(sizes: np.ndarray, similarity: float) -> np.ndarray:
     return ((1 - similarity) * sizes + 1e-6).astype(np.int64)
 
 
-def prefixes(hashes: np.ndarray, sizes: np.ndarray, rarity: np.ndarray, hot: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the rarest words of each line (fewer than 2^19 lines), as many as it takes that similar lines share one.
+def tokens(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, tokens) of lines, fewer than 2^19, sorted within each; ``words`` are numbers below 2^45. The k-th occurrence of
+    a word in its line is a token of its own, so lines are sets of tokens, however often words repeat."""
+    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    ranked = np.sort(line << np.uint64(45) | words)
+    at = np.arange(len(ranked), dtype=np.uint64)
+    again = at - np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], at, np.uint64(0)))
+    words = ranked & np.uint64((1 << 45) - 1)
+    token = (words + again * MIX) * MIX
+    return words, token ^ token >> np.uint64(29)
+
+
+def prefixes(order: np.ndarray, key: np.ndarray, sizes: np.ndarray, hot: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the rarest tokens of each line, as many as it takes that similar lines share one, given what
+    ``tokens`` makes of words whose highest 8 of 45 bits are their rarity.
 
-    The k-th occurrence of a word in its line is a token of its own, so lines are sets of tokens, and tokens have one
-    order everywhere: by rarity, hash, occurrence. Lines of which the longer has n words and that are d edits apart share
+    Tokens have one order everywhere: by rarity, hash, occurrence. Lines of which the longer has n words and that are d edits apart share
     n - d tokens; each misses d at most, so the first common one is among the first d + 1 of each, the second among the
     first d + 2. Where the first is in very many lines (rarity of ``hot`` or more), so is the second, and both together
     are the key. Pairs of lines whose longer one has FEW_LINES words meet by single words, kept apart from those of
     shorter lines."""
-    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    order = rarity[hashes >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(37) | hashes & np.uint64((1 << 37) - 1)
-    ranked = np.sort(line << np.uint64(45) | order)
-    rank = np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    need = np.repeat(_allowed(sizes, similarity) + 1, sizes)
-    kept = rank <= need
-    ranked, rank, need = ranked[kept], rank[kept], need[kept]
-    at = np.arange(len(ranked))
-    again = at - np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], at, 0))
-    line, order = (ranked >> np.uint64(45)).astype(np.int64), ranked & np.uint64((1 << 45) - 1)
-    key = (order + again.astype(np.uint64) * MIX) * MIX
-    key ^= key >> np.uint64(29)
+    # the first tokens of each line, one more than it may miss and one more
+    need = _allowed(sizes, similarity) + 1
+    few = np.minimum(need + 1, sizes)
+    line = np.repeat(np.arange(len(sizes)), few)
+    rank = np.arange(len(line)) - np.repeat(np.cumsum(few) - few, few)
+    at = rank + np.repeat(np.cumsum(sizes) - sizes, few)
+    order, key, need = order[at], key[at], need[line]
     common = (order >> np.uint64(37)).astype(np.int64) >= hot
     first = rank < need
     alone = first & ~common
@@ -194,31 +217,46 @@ def width(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted([n for n, _ in WIDTHS], sizes, "right") - 1
 
 
-def parities(hashes: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
-    """64 * ``words`` bits a line, each the parity of how many of its words fall there. Lines differ in no more bits than
-    their words as multisets do. Half as many bits are the exclusive or of both halves."""
+def parities(token: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
+    """64 * ``words`` bits a line, each the parity of how many of its tokens fall there. Lines differ in no more bits than
+    their words as multisets do; words that a line repeats do not cancel out, since each time is a token. Half as many bits are the exclusive or of both halves."""
     bits = 64 * words
     line = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(line * bits + (hashes % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
+    counts = np.bincount(line * bits + (token % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def _texts(batches: Iterator) -> Iterator[bytes]:
     """The texts of Arrow batches of one column, as they are encoded."""
     for batch in batches:
-        for text in batch.column(0).cast("large_binary"):
-            yield text.as_py()
+        yield from batch.column(0).cast("large_binary").to_pylist()
 
 
-def runs_of_lines(texts: Iterator[str | bytes], similarity: float) -> Iterator[tuple[list[int], list[bytes]]]:
+def _pieces(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts in lists of about ``most`` bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def runs_of_lines(texts: Iterator[bytes], similarity: float) -> Iterator[tuple[list[int], list[bytes]]]:
     """(codes, lines) of the distinct lines of a run of texts that can be similar to others without being equal, in pieces
     that ``prefixes`` can take."""
     seen, codes, lines, size = set(), [], [], 0
     # the shortest line to which one edit may leave another similar has one word less than that
     least = int(np.ceil(1 / (1 - similarity) - 1e-6)) - 2 if similarity < 1 else 1 << 62
-    for text in texts:
-        for line in canonical(text):
-            if line and (n := line.count(b" ")) >= least and (code := _code(xxhash.xxh3_128_digest(line), n + 1)) not in seen:
+    for piece in _pieces(texts, RUN):
+        every, sizes, _ = canonical_lines(piece)
+        long = np.flatnonzero(sizes > least)
+        every = [every[k] for k in long.tolist()]
+        for line, code in zip(every, _codes([xxhash.xxh3_128_digest(x) for x in every], sizes[long]).tolist()):
+            if code not in seen:
                 seen.add(code)
                 codes.append(code)
                 lines.append(line)
@@ -263,15 +301,17 @@ def _trim() -> None:
         pass
 
 
-def _keyed(texts: Iterator[str], rarity: tuple, similarity: float) -> Iterator[tuple]:
+def _keyed(texts: Iterator[bytes], rarity: tuple, similarity: float) -> Iterator[tuple]:
     """(keys, codes, sizes, bits, width) of runs of lines, a row a key, for each width of fingerprint."""
     for codes, lines in runs_of_lines(texts, similarity):
         hashes, sizes = word_hashes(lines)
-        line, key = prefixes(hashes, sizes, *rarity[:2], similarity)
+        words = rarity[0][hashes >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(37) | hashes & np.uint64((1 << 37) - 1)
+        words, token = tokens(words, sizes)
+        line, key = prefixes(words, token, sizes, rarity[1], similarity)
         codes, kinds = np.array(codes, np.uint64), width(sizes)
         for w in np.unique(kinds):
             chosen = np.flatnonzero(kinds == w)
-            bits = parities(hashes[np.repeat(kinds == w, sizes)], sizes[chosen], WIDTHS[w][1])
+            bits = parities(token[np.repeat(kinds == w, sizes)], sizes[chosen], WIDTHS[w][1])
             of = np.flatnonzero(kinds[line] == w)
             at = np.searchsorted(chosen, line[of])
             step = MADE // WIDTHS[w][1]
@@ -468,11 +508,13 @@ def candidates(docs: DataFrame, similarity: float) -> DataFrame:
     batch."""
     spark = docs.sparkSession
     total = max(docs.count(), 1)
-    drawn = lambda share: docs.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    drawn = lambda table, share: table.where(F.pmod(F.col("_hash"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
     share = min(1.0, max(SAMPLE_LEAST / total, SAMPLE_SHARE))
-    rarity = spark.sparkContext.broadcast(_rarity(drawn(share), share, similarity))
+    sample = materialize(drawn(docs, share).select("_hash", "_text"), "sample")
+    rarity = spark.sparkContext.broadcast(_rarity(sample, share, similarity))
     share = min(1.0, max(HOT_LEAST / total, SAMPLE_SHARE))
-    hot = spark.sparkContext.broadcast(_hot_keys(drawn(share), share, rarity, similarity))
+    hot = spark.sparkContext.broadcast(_hot_keys(drawn(sample, share), share, rarity, similarity))
+    release(sample)
     parts = max(spark.sparkContext.defaultParallelism, int(rarity.value[2] * KEY_BYTES) >> 23)
 
     def send(batches: Iterator) -> Iterator:
@@ -569,27 +611,27 @@ def _lines(docs: DataFrame, id_field: T.StructField, groups: DataFrame) -> DataF
 
         known, sent = bits.value, set()
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-            row, number, text, line, code = [], [], [], [], []
-            for i, t in enumerate(batch.column(2).cast("large_binary")):
-                for k, x in enumerate(canonical(t.as_py())):
-                    if x:
-                        row.append(i)
-                        number.append(k)
-                        text.append(x)
-                        line.append(digest := xxhash.xxh3_128_digest(x))
-                        code.append(_code(digest, x.count(b" ") + 1))
-            codes = np.array(code, np.uint64)
-            at = _filter_places(codes)
-            words = [None] * len(text)
-            for k in np.flatnonzero(((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)).tolist():
-                if code[k] not in sent:
-                    sent.add(code[k])
-                    words[k] = text[k]
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(line, pa.binary()), pa.array(codes.view(np.int64)), pa.array(words, pa.binary())],
-                names=schema.names,
-            )
+            start = 0
+            for piece in _pieces(iter(batch.column(2).cast("large_binary").to_pylist()), RUN):
+                text, sizes, of_text = canonical_lines(piece)
+                full = np.flatnonzero(sizes)
+                row = np.repeat(np.arange(len(piece)), of_text)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(of_text) - of_text, of_text)
+                rows = pa.array(row[full] + start)
+                start += len(piece)
+                text = [text[k] for k in full.tolist()]
+                line = [xxhash.xxh3_128_digest(x) for x in text]
+                codes = _codes(line, sizes[full])
+                at = _filter_places(codes)
+                words = [None] * len(text)
+                for k in np.flatnonzero(((known[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(0)).tolist():
+                    if (code := int(codes[k])) not in sent:
+                        sent.add(code)
+                        words[k] = text[k]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[full].astype(np.int32)), pa.array(line, pa.binary()), pa.array(codes.view(np.int64)), pa.array(words, pa.binary())],
+                    names=schema.names,
+                )
         _trim()
 
     return docs.mapInArrow(run, schema)
@@ -653,7 +695,7 @@ def _verified(lines: DataFrame, groups: DataFrame, similarity: float) -> DataFra
         sums = np.cumsum([len(x) for x in text])
         while k < len(text):
             to = max(k + 1, int(np.searchsorted(sums, sums[k] + RUN)))
-            bits.append(parities(word_hashes(text[k:to])[0], sizes[k:to], 32).T)
+            bits.append(parities(tokens(word_hashes(text[k:to])[0] >> np.uint64(19), sizes[k:to])[1], sizes[k:to], 32).T)
             k = to
         parent = list(range(len(text)))
         split: dict[int, list[bytes]] = {}
@@ -749,7 +791,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(
             "row",
             "text",
-            (1 + F.length(F.coalesce(whole, F.lit(""))) - F.length(F.replace(F.coalesce(whole, F.lit("")), F.lit("\n"), F.lit("")))).cast("long").alias("n_lines"),
+            F.coalesce(1 + F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))), F.lit(1)).cast("long").alias("n_lines"),
             F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
             F.when(F.col("_gone").isNull(), F.lit(1.0)).otherwise(n_words(F.col("text")) / n_words(whole)).alias("share_left"),
         )
