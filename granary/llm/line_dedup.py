@@ -222,7 +222,8 @@ def parities(token: np.ndarray, sizes: np.ndarray, words: int) -> np.ndarray:
     their words as multisets do; words that a line repeats do not cancel out, since each time is a token. Half as many bits are the exclusive or of both halves."""
     bits = 64 * words
     line = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(line * bits + (token % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
+    low = token.astype(np.uint32)
+    counts = np.bincount(line * bits + (low - low // np.uint32(bits) * np.uint32(bits)), minlength=len(sizes) * bits)
     return np.packbits((counts & 1).astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
@@ -409,15 +410,18 @@ def _key_links(blobs: dict[int, bytes], similarity: float) -> np.ndarray:
         by_key = np.argsort(key)
         sorted_key = key[by_key]
         twin = sorted_key[1:] == sorted_key[:-1]
-        rows = rows[by_key[np.r_[twin, False] | np.r_[False, twin]]]
-        if not len(rows):
+        by_key = by_key[shared := np.r_[twin, False] | np.r_[False, twin]]
+        if not len(by_key):
             continue
-        n = (rows[:, 1] & np.uint64(0xFFFF)).astype(np.int64)
-        rows = rows[order := _order(rows[:, 0] >> np.uint64(2), n, rows[:, 1])]
-        n, key = n[order], rows[:, 0] >> np.uint64(2)
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (rows[1:, 1] != rows[:-1, 1])]
-        rows, n, group = rows[fresh], n[fresh], np.cumsum(np.r_[False, key[1:] != key[:-1]])[fresh]
-        code = rows[:, 1]
+        key, code = sorted_key[shared], rows[by_key, 1]
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        # one number to sort by: group, n, some of the code; a line that stands twice all the same is only met twice
+        rest = 48 - int(group[-1]).bit_length()
+        order = np.argsort(group.astype(np.uint64) << np.uint64(16 + rest) | (code & np.uint64(0xFFFF)) << np.uint64(rest) | code >> np.uint64(64 - rest))
+        code = code[order]
+        fresh = np.r_[True, (group[1:] != group[:-1]) | (code[1:] != code[:-1])]
+        rows, group, code = rows[by_key[order[fresh]]], group[fresh], code[fresh]
+        n = (code & np.uint64(0xFFFF)).astype(np.int64)
         root = np.unique(code, return_inverse=True)
         parent = np.arange(len(root[0]))
 
