@@ -8,6 +8,7 @@ from granary.functions import text as X
 from granary.operators import assembling as A
 from granary.operators import rag as R
 from granary.operators import validation as V
+from granary.operators.workspace import materialize
 from granary.plans.base import query, r6, table
 from granary.plans.records import DOMAINS, FAMILY, RECORDS, TAXONOMY, VALID, _case, _listed, records, validated
 from granary.plans.serving import SPACES
@@ -180,7 +181,7 @@ def _small(spark, d):
     _, chunks, asked = _store(spark, d)
     chunks = chunks.withColumn("embedding", e.passages(F.col("text")))
     found = R.retrieve(asked, chunks, e, 5).withColumn("score", F.round("score", 9))
-    return asked, found.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
+    return asked, materialize(found.join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id"), "hits")
 
 
 _UNIT = "list_transform(v, lambda x: CASE WHEN s > 0 THEN x / s ELSE x END)"

@@ -9,6 +9,7 @@ from granary.operators.logs import by_intent, ingest, window_stats
 from granary.operators.records import batches, latest, pending
 from granary.operators.retrieval import auc as area
 from granary.operators.retrieval import top_k
+from granary.operators.workspace import materialize
 from granary.plans.base import CUES, PRED, SQL, predictions, query, r6, table
 
 NOW = "2024-01-31 00:00:00"
@@ -22,7 +23,7 @@ def _top(spark, d):
     e = table(spark, d, "embeddings").withColumn("dom", F.col("label") % 3)
     q = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
     k = e.where("vec_id % 10 <> 0 AND label <> 9").withColumnRenamed("vec_id", "item_id")
-    return q, k, top_k(q, k, 10, "dom")
+    return q, k, top_k(q, k, 10, "dom", digits=9)
 
 
 def _ranked(spark, d):
@@ -166,7 +167,7 @@ def answer_pipeline(spark, d):
     q, _, top = _top(spark, d)
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
     hits = top.where("rank <= 5").join(texts, "item_id", "left").select("query_id", F.col("item_id").cast("string").alias("chunk_id"), F.col("item_id").cast("string").alias("doc_id"), collapse(F.coalesce("text", F.lit(""))).alias("text"), r6(F.col("score")).alias("score"))
-    hits = hits.withColumnRenamed("query_id", "question_id")
+    hits = materialize(hits.withColumnRenamed("query_id", "question_id"), "hits")  # they are read four times
     drafts = extractive(hits)
     forged = F.transform("citations", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), F.when(F.col("question_id") % 30 == 0, "no text has this").otherwise(c["quote"]).alias("quote")))
     drafts = drafts.select("question_id", (F.col("question_id") % 40 == 0).alias("refused"), "answer", forged.alias("citations"))
