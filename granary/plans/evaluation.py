@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions.hashing import poisson
+from granary.functions.hashing import resampled
 from granary.functions.text import length_bucket
 from granary.operators import metrics as M
 from granary.plans.base import CUES, PRED, SQL_GROUP, group_of, predictions, query, r6, sql_uniform, table, u
@@ -141,12 +141,10 @@ LOW, HIGH = int(0.025 * SAMPLES), int(0.975 * SAMPLES) - 1
 
 
 def _samples(spark, d):
-    """Sums of each bootstrap sample over whole groups; groups are reduced first, so the expansion is samples x groups."""
+    """Sums of each bootstrap sample over whole groups; groups are reduced first."""
     p = predictions(spark, d).groupBy(group_of(F.col("doc_id")).alias("grp")).agg(
         F.count("*").alias("n"), F.sum(F.col("correct").cast("int")).alias("a"), F.sum((F.col("gold") == "en").cast("int")).alias("b"))
-    s = p.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
-    m = poisson(u("boot", F.col("sample"), F.col("grp")))
-    return s.withColumn("m", m).groupBy("sample").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in "nab"))
+    return resampled(p, "grp", ["n", "a", "b"], "boot", SAMPLES)
 
 
 def _interval(df, value):

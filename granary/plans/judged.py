@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.functions.hashing import poisson
+from granary.functions.hashing import resampled
 from granary.operators import evaluating as E
 from granary.operators.answering import act
 from granary.plans.base import query, r6, sql_uniform, u
@@ -120,8 +120,8 @@ def paired_predictors(spark, d):
     """Two predictors on the records that both have predicted, and the interval of their difference over whole groups."""
     a, b = (E.hard(pairs(spark, d, s)).select("record_id", "scenario_group_id", F.col("correct").alias(s)) for s in "ab")
     g = a.join(b.drop("scenario_group_id"), "record_id").groupBy("scenario_group_id").agg(F.count("*").alias("n"), *(F.sum(F.col(s).cast("int")).alias(s) for s in "ab"))
-    drawn = g.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1)))).withColumn("m", poisson(u("pair", F.col("sample"), F.col("scenario_group_id"))))
-    v = drawn.groupBy("sample").agg((F.sum((F.col("a") - F.col("b")) * F.col("m")) / F.sum(F.col("n") * F.col("m"))).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("v"))
+    drawn = resampled(g, "scenario_group_id", ["n", "a", "b"], "pair", SAMPLES)
+    v = drawn.select(((F.col("a") - F.col("b")) / F.col("n")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("v"))
     whole = g.agg(F.sum("n").alias("n"), (F.sum(F.col("a") - F.col("b")) / F.sum("n")).alias("difference"))
     return whole.crossJoin(F.broadcast(v)).select("n", r6(F.col("difference")).alias("difference"), r6(F.get("v", F.lit(LOW))).alias("low"), r6(F.get("v", F.lit(HIGH))).alias("high"))
 
