@@ -183,9 +183,14 @@ def record_invariants(spark, d):
 @query(f"WITH {CHECKED} SELECT record_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(ne AS BIGINT) AS nepali, CAST(hi AS BIGINT) AS hindi, {_NEGATED} AS negated, CASE WHEN found <> 'roman' THEN 'deva' WHEN {_count(X.NEPALI_ROMAN, X.NEPALI_ROMAN_END)} > 0 THEN 'roman' ELSE 'en' END AS language FROM w")
 def language_markers(spark, d):
     m, deva = F.col("message"), F.col("script").eqNullSafe("deva")
-    of = lambda f: F.when(deva, f(m, "deva")).otherwise(f(m, "roman")).cast("long")
-    return records(spark, d).select(
-        "record_id", F.size(X.words(m)).cast("long").alias("n_words"), of(X.nepali_markers).alias("nepali"), of(X.hindi_markers).alias("hindi"), X.has_negation(m).alias("negated"), X.question_language(m).alias("language")
+    ws = F.col("_words")
+    roman = F.col("_roman")
+    worded = records(spark, d).select("record_id", "script", "message", X.words(m).alias("_words"))
+    marked = worded.withColumn("_roman", X.nepali_markers(m, "roman", ws))
+    nepali = F.when(deva, X.nepali_markers(m, "deva", ws)).otherwise(roman)
+    hindi = F.when(deva, X.hindi_markers(m, "deva", ws)).otherwise(X.hindi_markers(m, "roman", ws))
+    return marked.select(
+        "record_id", F.size(ws).cast("long").alias("n_words"), nepali.cast("long").alias("nepali"), hindi.cast("long").alias("hindi"), X.has_negation(m, ws).alias("negated"), X.question_language(m, ws, roman).alias("language")
     )
 
 
