@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.operators.dedup import exact_duplicates, near_rejects
-from granary.operators.workspace import materialize
+from granary.operators.workspace import TEXTS, materialize
 from granary.sources.configs import Taxonomy
 
 SHORTEST, LONGEST = 8, 700
@@ -34,14 +34,21 @@ def leaked(message: Column, categories: dict[str, str]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def rules(tax: Taxonomy) -> list[tuple[str, Column]]:
-    """Names and conditions of broken rules, in the order in which they count. The first two end the check."""
+def nepali_count(words: Column | None = None) -> Column:
+    """The Nepali markers of a message in its declared script."""
+    text = F.col("message")
+    return F.when(F.col("script") == "deva", X.nepali_markers(text, "deva", words)).otherwise(X.nepali_markers(text, "roman", words))
+
+
+def rules(tax: Taxonomy, words: Column | None = None, nepali: Column | None = None) -> list[tuple[str, Column]]:
+    """Names and conditions of broken rules, in the order in which they count. The first two end the check. ``words`` and
+    ``nepali`` are columns of the message's words and ``nepali_count``, where there are any."""
     c = F.col
     text, script, family, label = c("message"), c("script"), c("difficulty_family"), c("labels.issue")
     found = X.detect_script(text)
     forgiven = F.array_contains("style_tags", REALSTYLE) & (script == "deva") & (found == "mixed")
-    nepali = F.when(script == "deva", X.nepali_markers(text, "deva")).otherwise(X.nepali_markers(text, "roman"))
-    hindi = F.when(script == "deva", X.hindi_markers(text, "deva")).otherwise(X.hindi_markers(text, "roman"))
+    nepali = nepali_count(words) if nepali is None else nepali
+    hindi = F.when(script == "deva", X.hindi_markers(text, "deva", words)).otherwise(X.hindi_markers(text, "roman", words))
     known = by_domain(tax, c("domain"), lambda d: F.array(*map(F.lit, tax.categories(d))))
     targets = F.map_keys(F.coalesce("labels.issue_target", F.create_map().cast("map<string,double>")))
     strange = F.size(F.array_except(F.array_remove("issues_all", ""), known)) > 0
@@ -63,7 +70,7 @@ def rules(tax: Taxonomy) -> list[tuple[str, Column]]:
         ("unknown_label", (label.isNotNull() & ~F.array_contains(known, label)) | (F.size(F.array_except(targets, known)) > 0) | (strange & ~label.eqNullSafe(F.lit(tax.fallback)))),
         ("label_family_mismatch", (open_ended != asks) | (open_ended == label.isNotNull()) | priority),
         ("missing_evidence", unsaid),
-        ("missing_negation", negative & ~X.has_negation(text)),
+        ("missing_negation", negative & ~X.has_negation(text, words)),
         ("label_leakage", by_domain(tax, c("domain"), lambda d: leaked(text, tax.criteria(d)))),
     ]
 
@@ -71,10 +78,12 @@ def rules(tax: Taxonomy) -> list[tuple[str, Column]]:
 def check(records: DataFrame, tax: Taxonomy) -> DataFrame:
     """``records`` with ``findings``: the names of broken rules in order. A rule that is null counts as kept; a wrong version
     or an unknown domain is the only finding of its record."""
-    named = [(name, F.coalesce(broken, F.lit(False))) for name, broken in rules(tax)]
+    named = [(name, F.coalesce(broken, F.lit(False))) for name, broken in rules(tax, F.col("_words"), F.col("_nepali"))]
     (version, old), (domain, strange), *rest = named
     others = F.array_compact(F.array(*(F.when(broken, name) for name, broken in rest)))
-    return records.withColumn("findings", F.when(old, F.array(F.lit(version))).when(strange, F.array(F.lit(domain))).otherwise(others))
+    worded = records.withColumn("_words", X.words(F.col("message")))  # found once, used by three rules
+    worded = worded.withColumn("_nepali", nepali_count(F.col("_words")))
+    return worded.withColumn("findings", F.when(old, F.array(F.lit(version))).when(strange, F.array(F.lit(domain))).otherwise(others)).drop("_words", "_nepali")
 
 
 def settle(checked: DataFrame) -> DataFrame:
@@ -94,7 +103,7 @@ def validate(records: DataFrame, tax: Taxonomy, order: str, threshold: float = 0
     Duplicates are sought among records that are not rejected, queued ones too: first equal normalised texts of another
     group, then, among what is left, near ones. The earlier record by ``order`` stays; ``duplicate_of`` is its order.
     """
-    settled = materialize(settle(check(records, tax)), "settled")
+    settled = materialize(settle(check(records, tax)), "settled", TEXTS)
     live = settled.where("status <> 'rejected'").select(order, "scenario_group_id", F.col("message").alias("text"))
     equal = materialize(exact_duplicates(live, order, "scenario_group_id"), "equal")
     near = near_rejects(live.join(equal, order, "left_anti"), order, "scenario_group_id", threshold=threshold)
